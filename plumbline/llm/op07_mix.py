@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialize, table
@@ -18,9 +19,11 @@ from .textbytes import NON_SPACE, counts, pieces
 MOST = 3
 #: Units of a source that one task balances together.
 BLOCK = 1024
+#: Open units of a source that are settled by choice, not by chance.
+LANDING = 14
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _words(texts: pa.Array) -> pa.Array:
     found = [counts(p.spans(NON_SPACE)[2], p.rows) for p in pieces(texts)]
     return pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
@@ -59,13 +62,15 @@ def targets(sized: DataFrame) -> DataFrame:
     return level.select("source", "source_size", "docs", F.when(F.col("stops"), F.col("cap")).otherwise(F.least(F.col("cap"), rest * F.col("weight"))).alias("target"))
 
 
-def flight(x: list[float], size: list[int], rng: random.Random) -> None:
+def flight(x: list[float], size: list[int], rng: random.Random, stop: int = 0) -> None:
     """Move the inclusion probabilities x, in place, along vectors that change neither the sum of x nor of x times
-    size, until fewer than three lie between 0 and 1. Each step is a fair game, so every unit keeps its probability."""
+    size, until fewer than three lie between 0 and 1, or stop of them. Each step is a fair game, so every unit keeps
+    its probability."""
     window: list[int] = []
-    for new in range(len(x)):
-        if not 0 < x[new] < 1:
-            continue
+    units = [i for i, v in enumerate(x) if 0 < v < 1]
+    for n, new in enumerate(units):
+        if len(window) + len(units) - n <= stop:
+            return
         window.append(new)
         while len(window) >= 2:
             i, j = window[:2]
@@ -94,15 +99,16 @@ def flight(x: list[float], size: list[int], rng: random.Random) -> None:
 
 
 def landing(x: list[float], size: list[int]) -> None:
-    """Settle the last one or two open units so that the words taken come nearest to what their probabilities ask for."""
+    """Settle the last open units (LANDING at most): of all choices whose number of documents is within one of what
+    their probabilities ask for, that whose words come nearest to it; the first such choice."""
     todo = [i for i, v in enumerate(x) if 0 < v < 1]
-    best = None
-    for bits in range(1 << len(todo)):
-        pick = [bits >> k & 1 for k in range(len(todo))]
-        off = (abs(sum((b - x[i]) * size[i] for b, i in zip(pick, todo, strict=True))), abs(sum(b - x[i] for b, i in zip(pick, todo, strict=True))), pick)
-        best = off if best is None or off < best else best
-    for b, i in zip(best[2] if best else [], todo, strict=True):
-        x[i] = float(b)
+    if not todo:
+        return
+    picks = (np.arange(1 << len(todo))[:, None] >> np.arange(len(todo))) & 1
+    p, z = np.array([x[i] for i in todo]), np.array([size[i] for i in todo], float)
+    docs, words = np.abs(picks.sum(1) - p.sum()), np.abs(picks @ z - p @ z)
+    for i, v in zip(todo, picks[np.lexsort((words, docs > 1))[0]], strict=True):
+        x[i] = float(v)
 
 
 def _balance(seed: int):
@@ -110,8 +116,9 @@ def _balance(seed: int):
         units = units.sort_values(["deal", "doc_id", "size"], kind="stable")
         x, size = units["x"].tolist(), units["size"].tolist()
         rng = random.Random(f"{seed} {key}")
-        flight(x, size, rng)
-        if units["last"].iloc[0]:
+        last = units["last"].iloc[0]
+        flight(x, size, rng, LANDING if last else 0)
+        if last:
             landing(x, size)
         return units.assign(x=x)
 
@@ -128,7 +135,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     inclusion probabilities r - floor(r) are moved through the null space of two constraints, the number of documents
     and of words. The units of a source are dealt into blocks of about BLOCK by a hash, each block leaves two open
     units at most, those of all blocks are dealt again, and in a source's last block the landing settles them. So no
-    task sees a whole source, and a source's words miss its target by less than one document. Rows of size 0 take 0.
+    task sees a whole source, and a source's words miss its target by much less than one document. Rows of size 0 take 0.
     Repeated rows are units like others; null ids are allowed; a null source is one; no rows give none. Reruns agree.
     """
     shares = materialize(targets(sized), "targets")
