@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op04_simhash, op05_tokens, op07_mix, op09_quality
+from . import op04_simhash, op05_tokens, op07_mix, op09_quality, op10_lines
 
 QUERIES = {
     "op4_simhash_near_dedup": op04_simhash.query,
     "op5_transducer_token_counts": op05_tokens.query,
     "op7_cube_mix": op07_mix.query,
     "op9_adaptive_quality": op09_quality.query,
+    "op10_fuzzy_lines": op10_lines.query,
 }
 ORACLE_SQL: dict[str, str] = {}
