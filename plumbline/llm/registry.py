@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op04_simhash, op05_tokens, op07_mix, op09_quality, op10_lines
+from . import op02_licenses, op04_simhash, op05_tokens, op07_mix, op08_decontaminate, op09_quality, op10_lines
 
 QUERIES = {
+    "op2_license_templates": op02_licenses.query,
     "op4_simhash_near_dedup": op04_simhash.query,
     "op5_transducer_token_counts": op05_tokens.query,
     "op7_cube_mix": op07_mix.query,
+    "op8_simhash_decontamination": op08_decontaminate.query,
     "op9_adaptive_quality": op09_quality.query,
     "op10_fuzzy_lines": op10_lines.query,
 }
