@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op02_licenses, op04_simhash, op05_tokens, op07_mix, op08_decontaminate, op09_quality, op10_lines
+from . import op01_langid, op02_licenses, op04_simhash, op05_tokens, op07_mix, op08_decontaminate, op09_quality, op10_lines
 
 QUERIES = {
+    "op1_byte_conv_langid": op01_langid.query,
     "op2_license_templates": op02_licenses.query,
     "op4_simhash_near_dedup": op04_simhash.query,
     "op5_transducer_token_counts": op05_tokens.query,
