@@ -1,22 +1,57 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, mixing."""
+"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, mixing.
+
+Each stage takes the documents that the one before kept, as a written table, and returns documents with the columns of
+`documents`; the last returns what the mix takes of each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import op04_simhash
+from plumbline.llm import op04_simhash, op07_mix, op08_decontaminate, op09_quality, op10_lines
+from plumbline.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break the base rules or their group's limits go."""
+    return op09_quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier document's line go, and documents of which no worded line is left."""
+    return op10_lines.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies stays."""
     return op04_simhash.keep_first(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them go."""
+    return op08_decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of the documents that the mix takes words of."""
+    return op07_mix.mix(materialize(op07_mix.sizes(docs), "sizes")).where("taken > 0")
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+]
+#: SQL has no MinHash, SimHash or cube method; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name)
     return docs
