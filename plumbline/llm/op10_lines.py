@@ -21,6 +21,8 @@ SIMILAR = 0.8
 #: A signature has BANDS x ROWS minima. Lines of similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS:
 #: 0.985 at 0.8, 0.997 at 0.85, 0.9998 at 0.9.
 BANDS, ROWS = 8, 4
+#: Times that the lines of a bucket which its hub isn't similar to are compared with a hub of their own.
+HUBS = 3
 #: Bits of the filter that says which lines may be asked for; its size is fixed, fuller it only lets more pass.
 FILTER_BITS = 1 << 24
 _LINE = class_table(b"\n")
@@ -89,11 +91,12 @@ def row_id(ids: Column, texts: Column) -> Column:
     return run(ids, texts)
 
 
-_LINES = "uid long, id long, line int, key long, bands array<long>"
+_BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+_LINES = "uid long, id long, line int, key long, " + ", ".join(f"{c} long" for c in _BAND_COLUMNS)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """A row for every worded line of docs (id, text) and one with line -1 for every text: uid, id, line, key, bands."""
+    """A row for every worded line of docs (id, text) and one with line -1 for every text: uid, id, line, key, b0, b1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,16 +108,16 @@ def lines(docs: DataFrame) -> DataFrame:
                 rows = np.concatenate([np.arange(p.rows), row]) + p.start
                 n = p.rows
                 key = pa.array(np.concatenate([np.zeros(n, np.int64), line_keys(p, s, e)]), mask=np.arange(n + len(s)) < n)
-                offs = np.concatenate([np.zeros(n, np.int32), np.arange(len(s) + 1, dtype=np.int32) * BANDS])
+                blank = np.zeros((n, BANDS), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(uid[rows]),
                         b.column(0).take(pa.array(rows)),
                         pa.array(np.concatenate([np.full(n, -1), number]).astype(np.int32)),
                         key,
-                        pa.ListArray.from_arrays(pa.array(offs), pa.array(bands.ravel())),
+                        *(pa.array(c) for c in np.concatenate([blank, bands]).T.copy()),
                     ],
-                    ["uid", "id", "line", "key", "bands"],
+                    ["uid", "id", "line", "key", *_BAND_COLUMNS],
                 )
 
     return docs.mapInArrow(run, _LINES)
@@ -186,38 +189,39 @@ def _distinct(pair: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[at], h[at]
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """u, v, similarity for the line pairs u, v, by their bodies in docs."""
-    keys = materialize(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
-    bodies = materialize(line_texts(docs, keys), "bodies")
-    left, right = bodies.select(F.col("key").alias("u"), F.col("body").alias("a")), bodies.select(F.col("key").alias("v"), F.col("body").alias("b"))
-    return materialize(jaccard(pairs.join(left, "u").join(right, "v")), "verified")
-
-
 def line_links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Links u, v that join every two lines (docs: id, text; found: lines() of it) that meet in a band and are similar.
+    """Links u, v of similar lines (docs: id, text; found: lines() of it).
 
-    In a band's bucket each line is compared with the smallest, so a bucket makes no more pairs than it has lines.
-    Lines that are similar to it are linked through it. For one that isn't, its distance (1 - similarity is a metric)
-    says which others of the bucket it could be similar to, and those pairs are verified too: no link is lost.
+    In each bucket of a band every line is compared with the bucket's hub, its line with most copies, since the other
+    variants of a much copied line lie around it. Lines that aren't similar to it form a bucket among themselves with
+    a hub of its own, HUBS times. So a bucket makes no more pairs in a turn than it has lines, whatever its size.
     """
-    dealt = found.where("line >= 0").select(F.explode("bands").alias("band"), "key")
-    centers = dealt.groupBy("band").agg(F.min("key").alias("center"), F.max("key").alias("other")).where("center <> other").drop("other")
-    star = materialize(dealt.join(centers, "band").where("key <> center").distinct(), "star")
-    first = verified(docs, star.select(F.col("key").alias("u"), F.col("center").alias("v")).distinct())
-    apart = star.join(first, (star.key == first.u) & (star.center == first.v)).select("band", "key", "similarity")
-    odd, all_ = apart.where(f"similarity < {SIMILAR}").alias("odd"), apart.alias("all")
-    more = odd.join(
-        all_,
-        (F.col("odd.band") == F.col("all.band"))
-        & (F.abs(F.col("odd.similarity") - F.col("all.similarity")) <= 1 - SIMILAR + 1e-9)
-        & ((F.col("odd.key") < F.col("all.key")) | (F.col("all.similarity") >= SIMILAR)),
-    ).select(F.col("odd.key").alias("u"), F.col("all.key").alias("v"))
-    more = materialize(more.distinct(), "more")
-    links = first if more.isEmpty() else first.union(verified(docs, more))
+    classes = found.where("line >= 0").groupBy("key").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in _BAND_COLUMNS))
+    dealt = classes.select("key", "n", F.explode(F.array(*_BAND_COLUMNS)).alias("band"))
+    star = materialize(_around_hubs(dealt), "star")
+    keys = star.select("key").union(star.select(F.col("hub").alias("key"))).distinct()
+    bodies = materialize(line_texts(docs, materialize(keys, "keys")), "bodies")
+    left, right = bodies.select(F.col("key").alias("u"), F.col("body").alias("a")), bodies.select(F.col("key").alias("v"), F.col("body").alias("b"))
+    links = None
+    for turn in range(HUBS):
+        pairs = star.select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
+        seen = materialize(jaccard(pairs.join(left, "u").join(right, "v")), "verified")
+        links = seen if links is None else links.union(seen)
+        if turn + 1 < HUBS:
+            apart = star.join(seen.where(f"similarity < {SIMILAR}"), (F.col("key") == F.col("u")) & (F.col("hub") == F.col("v")))
+            star = materialize(_around_hubs(apart.select("key", "n", "band")), "star")
+            if star.isEmpty():
+                break
     return links.where(f"similarity >= {SIMILAR}").select("u", "v")
 
 
+def _around_hubs(dealt: DataFrame) -> DataFrame:
+    """key, n, band, hub for the lines of dealt (key, n copies, band) in a bucket with others, but for hubs."""
+    order = F.shiftleft(F.least("n", F.lit(1 << 22)), 40).bitwiseOR(F.col("key").bitwiseAND((1 << 40) - 1))
+    hubs = dealt.groupBy("band").agg(F.max_by("key", order).alias("hub"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "hub")
+    return dealt.join(hubs, "band").where("key <> hub").select("key", "n", "band", "hub")
+
+
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (id, text): the texts (uid, id, n_lines) and the lines that go (uid, removed: ascending line numbers).
 
