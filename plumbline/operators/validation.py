@@ -1,0 +1,149 @@
+"""Performance and score statistics, purged cross-validation, combinatorial paths, overfitting probability."""
+
+from __future__ import annotations
+
+import math
+from itertools import combinations
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import upto
+
+EULER = 0.5772156649015329
+
+
+def sharpe(x: str | Column, per_year: float | None = None) -> Column:
+    """Mean over sample deviation, times the root of per_year; 0 for a flat zero series, missing for another flat one."""
+    mean, std = F.avg(x), F.stddev_samp(x)
+    value = F.when((std == 0) & (mean == 0), 0.0).otherwise(F.try_divide(mean, F.when(std != 0, std)))
+    return value * math.sqrt(per_year) if per_year else value
+
+
+def moments(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, sharpe, skew (biased), kurtosis (biased, normal is 3)."""
+    return df.groupBy(*by).agg(F.count(x).alias("n"), sharpe(x).alias("sharpe"), F.skewness(x).alias("skew"), (F.kurtosis(x) + 3).alias("kurtosis"))
+
+
+def probabilistic_sharpe(sr: float, benchmark: float, n: int, skew: float, kurtosis: float) -> float:
+    """Probability that the true ratio is above benchmark."""
+    spread = math.sqrt(max(1e-18, 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr))
+    return NormalDist().cdf((sr - benchmark) * math.sqrt(n - 1) / spread)
+
+
+def expected_best_sharpe(variance: float, trials: int) -> float:
+    if trials <= 1:
+        return 0.0
+    q = NormalDist().inv_cdf
+    return math.sqrt(variance) * ((1 - EULER) * q(1 - 1 / trials) + EULER * q(1 - 1 / (trials * math.e)))
+
+
+def deflated_sharpe(sr: float, n: int, skew: float, kurtosis: float, variance: float, trials: int) -> float:
+    return probabilistic_sharpe(sr, expected_best_sharpe(variance, trials), n, skew, kurtosis)
+
+
+def profit_factor(x: str) -> Column:
+    return F.try_divide(F.sum(F.when(F.col(x) > 0, F.col(x)).otherwise(0.0)), -F.sum(F.when(F.col(x) < 0, F.col(x)).otherwise(0.0)))
+
+
+def concentration(x: str) -> Column:
+    """The largest gain's share of all gains."""
+    return F.try_divide(F.max(F.when(F.col(x) > 0, F.col(x))), F.sum(F.when(F.col(x) > 0, F.col(x))))
+
+
+def log_loss(y: str = "y", p: str = "p") -> Column:
+    q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    return -F.avg(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
+
+
+def brier(y: str = "y", p: str = "p") -> Column:
+    return F.avg(F.pow(F.col(p) - F.col(y), 2))
+
+
+def accuracy(y: str = "y", p: str = "p") -> Column:
+    return F.avg(F.when((F.col(p) >= 0.5).cast("int") == F.col(y), 1.0).otherwise(0.0))
+
+
+def roc_auc(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """auc: the chance that a positive's score is above a negative's, ties half. Scores are counted by value first, so
+    that the ordered pass sees one row for each distinct score."""
+    per = scores.groupBy(p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = per.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    return wins.agg(F.try_divide(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+
+
+def additive_drawdown(df: DataFrame, x: str, by: str = "symbol", order: str = "ts") -> DataFrame:
+    """Largest fall of the cumulative sum from its running maximum."""
+    w = upto(Window.partitionBy(by).orderBy(order))
+    path = df.withColumn("_c", F.sum(x).over(w))
+    return path.withColumn("_d", F.max("_c").over(w) - F.col("_c")).groupBy(by).agg(F.max("_d").alias("drawdown"))
+
+
+def curve_stats(curve: DataFrame, by: str = "symbol", day: str = "date", equity: str = "equity") -> DataFrame:
+    """cagr by calendar days, and the largest relative fall."""
+    w = upto(Window.partitionBy(by).orderBy(day))
+    fall = curve.withColumn("_f", F.col(equity) / F.max(equity).over(w) - 1)
+    years = F.datediff(F.max(day), F.min(day)) / 365.25
+    growth = F.try_divide(F.max_by(equity, day), F.min_by(equity, day))
+    return fall.groupBy(by).agg((F.pow(growth, F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"), F.min("_f").alias("drawdown"))
+
+
+def purged_folds(labels: DataFrame, k: int, embargo: float) -> DataFrame:
+    """fold, pos, role (train or test) for labels (pos, start, stop): the test blocks are contiguous, of equal size up
+    to one; a training label doesn't overlap the block's time and doesn't lie in the embargo after it.
+
+    labels are numbered 0, 1, ... by pos; only the k blocks' bounds meet the labels again."""
+    n = labels.select(F.count("*").alias("n"))
+    placed = labels.crossJoin(n)
+    # the first n mod k blocks have one more
+    small, extra = F.floor(F.col("n") / k), F.col("n") % k
+    cut = (small + 1) * extra
+    block = F.when(F.col("pos") < cut, F.floor(F.col("pos") / (small + 1))).otherwise(extra + F.floor((F.col("pos") - cut) / small)).cast("int")
+    placed = placed.withColumn("block", block)
+    runs = placed.groupBy(F.col("block").alias("fold")).agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.max("pos").alias("last"), F.first("n").alias("_n"))
+    met = placed.join(F.broadcast(runs))  # k rows
+    train = (F.col("stop") < F.col("a")) | ((F.col("start") > F.col("b")) & (F.col("pos") > F.col("last") + F.floor(F.col("_n") * embargo)))
+    role = F.when(F.col("block") == F.col("fold"), "test").when(train, "train")
+    return met.select("fold", "pos", role.alias("role")).where("role is not null")
+
+
+def combinatorial_splits(spark: SparkSession, groups: int, test: int) -> DataFrame:
+    """split, grp, path: in each split test of the groups are tested; a group's turns are dealt to the paths in order."""
+    seen = dict.fromkeys(range(groups), 0)
+    rows = []
+    for split, chosen in enumerate(combinations(range(groups), test)):
+        for g in chosen:
+            rows.append((split, g, seen[g]))
+            seen[g] += 1
+    return spark.createDataFrame(rows, "split int, grp int, path int")
+
+
+def path_distribution(results: DataFrame) -> DataFrame:
+    """Of path results (path, ret): median, mean, deviation, least, share below 0 of the paths' Sharpe ratios."""
+    per = results.groupBy("path").agg(sharpe("ret").alias("s"))
+    return per.agg(
+        F.percentile("s", F.lit(0.5)).alias("median"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("std"),
+        F.min("s").alias("worst"), F.avg((F.col("s") < 0).cast("int")).alias("negative"), F.count("*").alias("paths"),
+    )
+
+
+def overfitting_probability(returns: DataFrame, partitions: int) -> DataFrame:
+    """combo, logit of every choice of half the partitions as in-sample: the rank out of sample of the strategy that is
+    best in sample. returns: strategy, part (0 .. partitions - 1), ret.
+
+    Each strategy's partitions are reduced to count, sum and sum of squares; combinations only add those."""
+    spark = returns.sparkSession
+    combos = [(i, p, p in set(c)) for i, c in enumerate(combinations(range(partitions), partitions // 2)) for p in range(partitions)]
+    sides = spark.createDataFrame(combos, "combo int, part int, inside boolean")
+    sums = returns.groupBy("strategy", "part").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    both = sums.join(sides, "part").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    variance = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
+    both = both.withColumn("sr", F.coalesce(F.try_divide(F.col("s") / F.col("n"), F.sqrt(F.greatest(variance, F.lit(0.0)))), F.lit(0.0)))
+    inside, outside = both.where("inside"), both.where("not inside")
+    best = inside.groupBy("combo").agg(F.min(F.struct((-F.col("sr")).alias("m"), "strategy"))["strategy"].alias("strategy"))
+    w = Window.partitionBy("combo")
+    ranked = outside.withColumn("rank", F.rank().over(w.orderBy("sr")) + (F.count("*").over(w.orderBy("sr").rangeBetween(0, 0)) - 1) / 2).withColumn("m", F.count("*").over(w))
+    share = F.col("rank") / (F.col("m") + 1)
+    return ranked.join(best, ["combo", "strategy"], "left_semi").select("combo", "strategy", F.ln(share / (1 - share)).alias("logit"))
