@@ -16,6 +16,8 @@ from .common import materialize, new_path, table
 MAGIC = "WARC/1.0\r\n"
 #: Payloads of fewer bytes are always stored whole.
 LEAST_REVISIT = 1000
+#: Repeated payloads up to which their table is broadcast (some 100 bytes each); beyond that the pages are shuffled.
+BROADCAST_GROUPS = 100_000
 _FIELD = re.compile(rb"(?:^|\r\n)([!-9;-~]+): *([^\r\n]*)")
 
 
@@ -32,8 +34,11 @@ def records(pages: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"),
     )
     p = p.withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    top = p.where(F.col("n") >= LEAST_REVISIT).groupBy(F.col("digest").alias("_digest"), F.col("n").alias("_n")).agg(F.max(F.struct("page_id", "rid")).alias("_top"))
-    joined = p.join(top, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
+    groups = p.where(F.col("n") >= LEAST_REVISIT).groupBy(F.col("digest").alias("_digest"), F.col("n").alias("_n"))
+    top = groups.agg(F.max(F.struct("page_id", "rid")).alias("_top"), F.count("*").alias("_many")).where("_many > 1").drop("_many")
+    top = materialize(top, "repeated")
+    few = top.count() <= BROADCAST_GROUPS
+    joined = p.join(F.broadcast(top) if few else top, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
     revisit = F.col("_top").isNotNull() & (F.col("_top.rid") != F.col("rid"))
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
 
