@@ -214,7 +214,7 @@ def _cut_payloads(spark: SparkSession, path: str, cut: DataFrame) -> DataFrame:
     def digest(p: pa.Array, body_at: pa.Array, size: pa.Array) -> pa.Array:
         out = []
         for x, at, n in zip(p.to_pylist(), body_at.to_pylist(), size.to_pylist(), strict=True):
-            blob = MAGIC.encode().join(y["value"] for y in x)
+            blob = b"".join(y["value"] + MAGIC.encode() for y in x)
             out.append(sha1(blob[at - x[0]["from"] :][:n]).hexdigest())
         return pa.array(out, pa.string())
 

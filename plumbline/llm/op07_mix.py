@@ -135,7 +135,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     inclusion probabilities r - floor(r) are moved through the null space of two constraints, the number of documents
     and of words. The units of a source are dealt into blocks of about BLOCK by a hash, each block leaves two open
     units at most, those of all blocks are dealt again, and in a source's last block the landing settles them. So no
-    task sees a whole source, and a source's words miss its target by much less than one document. Rows of size 0 take 0.
+    task sees a whole source, and a source's words miss its target by less than its largest document. Rows of size 0 take 0.
     Repeated rows are units like others; null ids are allowed; a null source is one; no rows give none. Reruns agree.
     """
     shares = materialize(targets(sized), "targets")
