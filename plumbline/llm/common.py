@@ -28,14 +28,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that shuffle files go as soon as their query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs a re-read and no recomputation.
+    The lineage ends there, so a lost executor costs a re-read and no recomputation, and the shuffles that made the
+    table are deleted when it is written.
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
 

@@ -83,10 +83,14 @@ def _row_ids(ids: pa.Array, texts: pa.Array) -> np.ndarray:
     return np.fromiter(made, np.uint64, len(ids)).view(np.int64)
 
 
-def row_id(ids: Column, texts: Column) -> Column:
+def touched_id(ids: Column, texts: Column, filter_: np.ndarray) -> Column:
+    """The row id where the filter of row ids may hold it, else null."""
+    held = SparkSession.active().sparkContext.broadcast(filter_)
+
     @F.arrow_udf(T.LongType())
     def run(i: pa.Array, t: pa.Array) -> pa.Array:
-        return pa.array(_row_ids(i, t))
+        uid = _row_ids(i, t)
+        return pa.array(uid, mask=~_maybe(held.value, uid))
 
     return run(ids, texts)
 
@@ -134,6 +138,11 @@ def _wanted(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _maybe(filter_: np.ndarray, key: np.ndarray) -> np.ndarray:
+    bits = filter_[key % len(filter_)] >> ((key.view(np.uint64) >> np.uint64(40)) & np.uint64(63))
+    return (bits & np.uint64(1)).astype(bool)
+
+
 def line_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key, body of the lines of docs (id, text) whose key is in keys (key), once each."""
     held = docs.sparkSession.sparkContext.broadcast(_wanted(keys))
@@ -144,8 +153,7 @@ def line_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             for p in pieces(b.column(1)):
                 s, e, _, _ = worded_lines(p)
                 key = line_keys(p, s, e)
-                bits = filter_[key % len(filter_)] >> ((key.view(np.uint64) >> np.uint64(40)) & np.uint64(63))
-                at = np.flatnonzero(bits & np.uint64(1))
+                at = np.flatnonzero(_maybe(filter_, key))
                 if len(at):
                     at = at[np.unique(key[at], return_index=True)[1]]
                     blob = p.buf.tobytes()
@@ -252,18 +260,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without the lines that repeat an earlier one; rows that lose every worded line go."""
+    """The rows of docs without the lines that repeat an earlier one; rows that lose every worded line go.
+
+    Only texts that may lose a line, by a filter of fixed size, are shuffled; the others pass as they are.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     _, gone = removals(slim)
     gone = materialize(gone.withColumnRenamed("uid", "_uid").withColumnRenamed("removed", "_removed"), "gone")
-    uid = row_id(F.col(id_col).cast("long"), F.col(text_col))
-    joined = docs.withColumn("_uid", uid).join(gone, "_uid", "left")
+    uid = touched_id(F.col(id_col).cast("long"), F.col(text_col), _wanted(gone.select(F.col("_uid").alias("key"))))
+    marked = docs.withColumn("_uid", uid)
+    joined = marked.where("_uid is not null").join(gone.hint("merge"), "_uid", "left")
+    lost = F.col("_removed").isNotNull()
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)
-    out = joined.withColumn(text_col, text).where(F.col("_removed").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    out = joined.withColumn(text_col, F.when(lost, kept).otherwise(F.col(text_col))).where(~lost | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(lost, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns).unionByName(marked.where("_uid is null").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
