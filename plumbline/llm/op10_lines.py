@@ -239,7 +239,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = connected_components(line_links(docs, found))
     at = found.where("line >= 0").select("key", F.struct(F.col("id").isNull().alias("no"), "id", "uid", "line").alias("at"))
     named = at.join(roots, at.key == roots.node, "left").select("at", F.coalesce("root", "key").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
+    # a written table, so that the join with it can split a component that much of the lines belong to
+    firsts = materialize(named.groupBy("root").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last"), "firsts")
     gone = named.join(firsts, "root").where("at <> first").select("at.uid", "at.line").distinct()
     texts = found.groupBy("uid", "id").agg(F.sum(F.when(F.col("line") < 0, 1).otherwise(0)).alias("copies"), F.sum(F.when(F.col("line") < 0, 0).otherwise(1)).alias("n"))
     texts = texts.select(F.explode(F.expr("array_repeat(cast(n / copies as long), cast(copies as int))")).alias("n_lines"), "uid", "id")
