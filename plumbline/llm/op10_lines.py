@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import materialize, table
+from .common import materialize, release, table
 from .components import connected_components
-from .textbytes import NON_SPACE, Hashes, Piece, class_table, mix, pieces
+from .textbytes import NON_SPACE, Hashes, Piece, class_table, counts, mix, pieces
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 8
@@ -23,6 +23,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 8, 4
 #: Times that the lines of a bucket which its hub isn't similar to are compared with a hub of their own.
 HUBS = 3
+#: Places of the sketches that discard pairs, a multiple of 64.
+SKETCH_BITS = 1024
 #: Bits of the filter that says which lines may be asked for; its size is fixed, fuller it only lets more pass.
 FILTER_BITS = 1 << 24
 _LINE = class_table(b"\n")
@@ -96,6 +98,7 @@ def touched_id(ids: Column, texts: Column, filter_: np.ndarray) -> Column:
 
 
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _LINES = "uid long, id long, line int, key long, " + ", ".join(f"{c} long" for c in _BAND_COLUMNS)
 
 
@@ -197,30 +200,92 @@ def _distinct(pair: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[at], h[at]
 
 
+def sketches(bodies: DataFrame) -> DataFrame:
+    """key, m (distinct shingles), s0, s1, ... (parities of the shingles by SKETCH_BITS places) of bodies (key, body).
+
+    Two sketches differ in no more places than their sets have unshared shingles, so that what they discard is never
+    similar.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                b = batch.slice(lo, 1024)
+                for p in pieces(b.column(1)):
+                    h, at = shingles(p, p.offs[:-1], p.offs[1:])
+                    row = np.repeat(np.arange(p.rows), np.diff(np.append(at, len(h))))
+                    _, first = np.unique(mix(h ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
+                    row, h = row[first], h[first]
+                    place = row * SKETCH_BITS + (mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                    odd = (np.bincount(place, minlength=p.rows * SKETCH_BITS) & 1).astype(bool)
+                    words = np.packbits(odd).view(np.int64).reshape(p.rows, -1)
+                    key = b.column(0).slice(p.start, p.rows)
+                    yield pa.RecordBatch.from_arrays([key, pa.array(counts(row, p.rows)), *(pa.array(w) for w in words.T.copy())], ["key", "m", *_SKETCH])
+
+    return bodies.select("key", "body").mapInArrow(run, "key long, m long, " + ", ".join(f"{c} long" for c in _SKETCH))
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """Whether the sketches of two sides (their alias) allow a similarity of SIMILAR."""
+    unshared = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
+    m, n = F.col(f"{x}.m"), F.col(f"{y}.m")
+    return F.greatest(unshared.cast("long"), F.abs(m - n)) * (1 + SIMILAR) <= (m + n) * (1 - SIMILAR) + 1e-6
+
+
+def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose exact similarity is SIMILAR or more."""
+    left, right = bodies.select(F.col("key").alias("u"), F.col("body").alias("a")), bodies.select(F.col("key").alias("v"), F.col("body").alias("b"))
+    return jaccard(pairs.join(left, "u").join(right, "v")).where(f"similarity >= {SIMILAR}").select("u", "v")
+
+
 def line_links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Links u, v of similar lines (docs: id, text; found: lines() of it).
+    """Links u, v (docs: id, text; found: lines() of it) that join the same lines as all links within buckets do.
 
     In each bucket of a band every line is compared with the bucket's hub, its line with most copies, since the other
     variants of a much copied line lie around it. Lines that aren't similar to it form a bucket among themselves with
     a hub of its own, HUBS times. So a bucket makes no more pairs in a turn than it has lines, whatever its size.
+    Lines that the hubs leave in another component than most of their bucket are then compared with the bucket's lines
+    of other components. Sketches discard pairs before a text is fetched, and none that is similar.
     """
     classes = found.where("line >= 0").groupBy("key").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in _BAND_COLUMNS))
     dealt = classes.select("key", "n", F.explode(F.array(*_BAND_COLUMNS)).alias("band"))
     star = materialize(_around_hubs(dealt), "star")
-    keys = star.select("key").union(star.select(F.col("hub").alias("key"))).distinct()
-    bodies = materialize(line_texts(docs, materialize(keys, "keys")), "bodies")
-    left, right = bodies.select(F.col("key").alias("u"), F.col("body").alias("a")), bodies.select(F.col("key").alias("v"), F.col("body").alias("b"))
-    links = None
+    met = star.select("key", "band").union(star.select(F.col("hub").alias("key"), "band").distinct())
+    keys = materialize(met.select("key").distinct(), "keys")
+    bodies = materialize(line_texts(docs, keys), "bodies")
+    sketched = materialize(sketches(bodies), "sketches")
+    links, left = None, star
     for turn in range(HUBS):
-        pairs = star.select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-        seen = materialize(jaccard(pairs.join(left, "u").join(right, "v")), "verified")
-        links = seen if links is None else links.union(seen)
+        pairs = left.select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
+        pairs = pairs.join(sketched.alias("x"), F.col("u") == F.col("x.key")).join(sketched.alias("y"), F.col("v") == F.col("y.key"))
+        near = materialize(_similar(pairs.where(_may_be_similar("x", "y")).select("u", "v"), bodies), "near")
+        links = near if links is None else links.union(near)
         if turn + 1 < HUBS:
-            apart = star.join(seen.where(f"similarity < {SIMILAR}"), (F.col("key") == F.col("u")) & (F.col("hub") == F.col("v")))
-            star = materialize(_around_hubs(apart.select("key", "n", "band")), "star")
-            if star.isEmpty():
+            apart = left.join(near, (F.col("key") == F.col("u")) & (F.col("hub") == F.col("v")), "left_anti")
+            left = materialize(_around_hubs(apart.select("key", "n", "band")), "star")
+            if left.isEmpty():
                 break
-    return links.where(f"similarity >= {SIMILAR}").select("u", "v")
+    roots = connected_components(links)
+    pairs = materialize(_across_components(met, roots, sketched), "across")
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_similar(pairs, bodies))
+
+
+def _across_components(met: DataFrame, roots: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs u, v of different components in a bucket of met (key, band) that may be similar, once each.
+
+    Components with most lines in their bucket are not compared within themselves, so a bucket around one line costs
+    its strays times its lines.
+    """
+    named = met.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    named = materialize(named, "named")
+    main = named.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
+    main = materialize(main.where("roots > 1").select("band", "main"), "main")
+    held = materialize(named.join(main, "band").join(sketched, "key"), "held")
+    release(named)
+    stray, other = held.where("root <> main").alias("x"), held.alias("y")
+    differ = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key")))
+    pairs = stray.join(other, (F.col("x.band") == F.col("y.band")) & differ & _may_be_similar("x", "y"))
+    return pairs.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct()
 
 
 def _around_hubs(dealt: DataFrame) -> DataFrame:

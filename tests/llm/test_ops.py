@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import (
@@ -409,6 +410,52 @@ def test_many_variants_of_a_line(spark):
     assert sum(len(r["removed"]) for r in got) >= 0.98 * (len(rows) - 1)
 
 
+def test_links_within_buckets(spark, monkeypatch):
+    """Lines around a common passage: the components are those of all similar pairs that share a bucket."""
+    monkeypatch.setattr(op10_lines, "HUBS", 1)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(40)]
+    bodies = set()
+    for _ in range(60):  # families of drifting lines, some of them far from the passage they began with
+        w = base[:]
+        for _ in range(rng.randint(1, 8)):
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(40)] = word()
+            bodies.add(" ".join(w))
+    bodies = sorted(bodies) + [base[0], "x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(bodies)], "id long, text string").repartition(3)
+    found = op10_lines.lines(docs).where("line >= 0").collect()
+    sets = {r["key"]: {bodies[r["id"]][i : i + 8] for i in range(max(1, len(bodies[r["id"]]) - 7))} for r in found}
+    met = defaultdict(set)
+    for r in found:
+        for c in op10_lines._BAND_COLUMNS:
+            met[r[c]].add(r["key"])
+    similar = {(max(a, b), min(a, b)) for keys in met.values() for a in keys for b in keys if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    edges = lambda pairs: spark.createDataFrame(sorted(pairs), "u long, v long")
+    roots = lambda links: {(r["node"], r["root"]) for r in connected_components(links).collect()}
+    want = roots(edges(similar))
+    assert roots(op10_lines.line_links(docs, op10_lines.lines(docs))) == want
+    assert len({r for _, r in want}) > 1
+
+
+def test_sketches_discard_no_similar_pair(spark):
+    rng = random.Random(13)
+    bodies = []
+    for i in range(40):
+        t = "".join(rng.choice("abcdé ") for _ in range(rng.choice([1, 7, 8, 9, 60, 400, 3000])))
+        bodies += [t, t[: len(t) // 2] + "#" + t[len(t) // 2 :], t + t[: len(t) // 9], t[len(t) // 7 :]]
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(bodies)], "key long, body binary")
+    sketched = op10_lines.sketches(frame)
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in bodies]
+    assert {r["key"]: r["m"] for r in sketched.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    x, y = sketched.alias("x"), sketched.alias("y")
+    pairs = x.join(y, F.col("x.key") < F.col("y.key")).where(op10_lines._may_be_similar("x", "y")).select("x.key", "y.key").collect()
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    kept = {tuple(p) for p in pairs}
+    assert similar <= kept and len(kept) < len(sets) ** 2 / 4
+
+
 def test_language(spark, empty):
     rng = random.Random(3)
     tongues = {"xx": ["tion", "ing", "the", "er"], "yy": ["ung", "sch", "ein", "ü"], "zz": ["eau", "oi", "é", "ment"]}
