@@ -90,23 +90,24 @@ def curve_stats(curve: DataFrame, by: str = "symbol", day: str = "date", equity:
     return fall.groupBy(by).agg((F.pow(growth, F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"), F.min("_f").alias("drawdown"))
 
 
-def purged_folds(labels: DataFrame, k: int, embargo: float) -> DataFrame:
-    """fold, pos, role (train or test) for labels (pos, start, stop): the test blocks are contiguous, of equal size up
-    to one; a training label doesn't overlap the block's time and doesn't lie in the embargo after it.
-
-    labels are numbered 0, 1, ... by pos; only the k blocks' bounds meet the labels again."""
-    n = labels.select(F.count("*").alias("n"))
-    placed = labels.crossJoin(n)
+def purged_folds(labels: DataFrame, k: int, embargo: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, fold, pos, role (train or test) for labels (by, pos, start, stop): the test blocks are contiguous, of equal
+    size up to one; a training label doesn't overlap the block's time and doesn't lie in the embargo after it.
+
+    labels of each group of by are numbered 0, 1, ... by pos and have folds of their own; only the k blocks' bounds of a
+    group meet its labels again."""
+    n = labels.groupBy(*by).agg(F.count("*").alias("n"))
+    placed = labels.join(n, list(by)) if by else labels.crossJoin(n)
     # the first n mod k blocks have one more
     small, extra = F.floor(F.col("n") / k), F.col("n") % k
     cut = (small + 1) * extra
     block = F.when(F.col("pos") < cut, F.floor(F.col("pos") / (small + 1))).otherwise(extra + F.floor((F.col("pos") - cut) / small)).cast("int")
     placed = placed.withColumn("block", block)
-    runs = placed.groupBy(F.col("block").alias("fold")).agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.max("pos").alias("last"), F.first("n").alias("_n"))
-    met = placed.join(F.broadcast(runs))  # k rows
+    runs = placed.groupBy(*by, F.col("block").alias("fold")).agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.max("pos").alias("last"), F.first("n").alias("_n"))
+    met = placed.join(runs, list(by)) if by else placed.join(F.broadcast(runs))  # k rows
     train = (F.col("stop") < F.col("a")) | ((F.col("start") > F.col("b")) & (F.col("pos") > F.col("last") + F.floor(F.col("_n") * embargo)))
     role = F.when(F.col("block") == F.col("fold"), "test").when(train, "train")
-    return met.select("fold", "pos", role.alias("role")).where("role is not null")
+    return met.select(*by, "fold", "pos", role.alias("role")).where("role is not null")
 
 
 def combinatorial_splits(spark: SparkSession, groups: int, test: int) -> DataFrame:

@@ -114,8 +114,8 @@ LABELS = """l AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, t
 def _labels(spark, d):
     from pyspark.sql import Window
 
-    e = views.table(spark, d, "events").where("user_id = 7")
-    return e.select((F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("pos"), F.col("ts").alias("start"), F.expr("ts + interval 6 hours").alias("stop"))
+    e = views.table(spark, d, "events").where("user_id is not null")
+    return e.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("pos"), F.col("ts").alias("start"), F.expr("ts + interval 6 hours").alias("stop"))
 
 
 @query(
@@ -125,7 +125,20 @@ def _labels(spark, d):
     SELECT CAST(fold AS INT) AS fold, CAST(pos AS INT) AS pos, role FROM x WHERE role IS NOT NULL""",
 )
 def purged_folds(spark, d):
-    return V.purged_folds(_labels(spark, d), 5, 0.02)
+    """Those of one user, as its SQL has it."""
+    return V.purged_folds(_labels(spark, d).where("user_id = 7"), 5, 0.02)
+
+
+@query(
+    "r20_purged_folds_all",
+    """WITH l AS (SELECT user_id, row_number() OVER u - 1 AS pos, ts AS start, ts + INTERVAL 6 HOUR AS stop, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT *, ntile(5) OVER (PARTITION BY user_id ORDER BY pos) - 1 AS fold FROM l), t AS (SELECT user_id, fold, min(start) AS a, max(stop) AS b, max(pos) AS last FROM b GROUP BY ALL),
+    x AS (SELECT t.user_id, t.fold, b.pos, CASE WHEN b.fold = t.fold THEN 'test' WHEN b.stop < t.a OR (b.start > t.b AND pos > last + floor(n * 0.02)) THEN 'train' END AS role FROM b JOIN t ON b.user_id = t.user_id)
+    SELECT user_id, CAST(fold AS INT) AS fold, CAST(pos AS INT) AS pos, role FROM x WHERE role IS NOT NULL""",
+)
+def purged_folds_all(spark, d):
+    """Folds of every user's labels."""
+    return V.purged_folds(_labels(spark, d), 5, 0.02, ("user_id",))
 
 
 @query(

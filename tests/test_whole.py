@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
+import numpy as np
+
 from plumbline.plans.registry import QUERIES
 from plumbline.sources import views
 
@@ -17,3 +22,22 @@ def test_every_symbol_is_held(spark, sf):
             want[date, symbol] = round(held, 4)
     got = {(r["date"], r["symbol"]): r["held"] for r in QUERIES["r05_held_weights_all"](spark, sf).collect()}
     assert got == want and len({s for _, s in got}) == panel["symbol"].nunique() > 2
+
+
+def test_every_user_has_folds(spark, sf):
+    events = views.table(spark, sf, "events").toPandas().sort_values(["ts", "event_id"])
+    want = set()
+    for user, e in events.groupby("user_id"):
+        start, n = list(e["ts"]), len(e)
+        stop = [t + dt.timedelta(hours=6) for t in start]
+        blocks = [b.tolist() for b in np.array_split(range(n), 5)]
+        for fold, block in enumerate(b for b in blocks if b):
+            a, b = start[block[0]], max(stop[i] for i in block)
+            for i in range(n):
+                if i in block:
+                    want.add((user, fold, i, "test"))
+                elif stop[i] < a or (start[i] > b and i > block[-1] + math.floor(n * 0.02)):
+                    want.add((user, fold, i, "train"))
+    rows = QUERIES["r20_purged_folds_all"](spark, sf).collect()
+    assert {tuple(r[c] for c in ("user_id", "fold", "pos", "role")) for r in rows} == want and len(rows) == len(want)
+    assert len({r["user_id"] for r in rows}) == events["user_id"].nunique() > 1
