@@ -255,8 +255,7 @@ def correlated_pairs(spark, d):
 @query("r17_hierarchical_book")
 def hierarchical_book(spark, d):
     p = views.panel(spark, d).withColumn("ret", C.daily_return()).where("ret is not null").withColumn("month", F.trunc("date", "MM"))
-    top = p.groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(12)
-    p = p.join(top, "symbol", "left_semi").withColumn("date", F.trunc("date", "YEAR")).select("date", "symbol", F.col("month"), "ret")
+    p = p.withColumn("date", F.trunc("date", "YEAR")).select("date", "symbol", F.col("month"), "ret")
     monthly = p.groupBy("date", "month", "symbol").agg(F.avg("ret").alias("ret"))
     a, b = (monthly.select("date", "month", F.col("symbol").alias(x), F.col("ret").alias(f"r{x}")) for x in "ab")
     cov = a.join(b, ["date", "month"]).groupBy("date", "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))

@@ -6,7 +6,9 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 
+from plumbline.operators.portfolio import hierarchical_weights
 from plumbline.plans.registry import QUERIES
 from plumbline.sources import views
 
@@ -41,3 +43,21 @@ def test_every_user_has_folds(spark, sf):
     rows = QUERIES["r20_purged_folds_all"](spark, sf).collect()
     assert {tuple(r[c] for c in ("user_id", "fold", "pos", "role")) for r in rows} == want and len(rows) == len(want)
     assert len({r["user_id"] for r in rows}) == events["user_id"].nunique() > 1
+
+
+def test_the_hierarchical_book_holds_every_symbol(spark):
+    sf = "/root/testdata/sf0.01"  # sf0.001 has ten symbols
+    p = views.panel(spark, sf).toPandas().sort_values("date")
+    p["ret"] = p["close"] / p.groupby("symbol")["close"].shift(1) - 1
+    p["date"] = pd.to_datetime(p["date"])
+    p = p.dropna(subset="ret").assign(year=lambda x: x["date"].dt.year, month=lambda x: x["date"].dt.month)
+    wide = p.groupby(["year", "month", "symbol"])["ret"].mean().unstack()
+    want = {}
+    for year, m in wide.groupby(level="year"):
+        cov = m.cov(min_periods=2)
+        good = [s for s in cov.columns if cov.loc[s, s] > 0]
+        weights = hierarchical_weights(cov.loc[good, good].fillna(0.0).to_numpy())
+        want |= {(year, s): w for s, w in zip(good, weights, strict=True)}
+    got = {(r["date"].year, r["symbol"]): r["weight"] for r in QUERIES["r17_hierarchical_book"](spark, sf).collect()}
+    assert got.keys() == want.keys() and len({s for _, s in got}) == p["symbol"].nunique() > 12
+    assert [k for k in want if abs(got[k] - want[k]) > 2e-6] == []
