@@ -46,15 +46,16 @@ def basket_returns(changes: DataFrame, closes: DataFrame, cost: float) -> DataFr
     return legs.groupBy("review").agg(F.count("*").alias("legs"), (F.avg("_r") - cost).alias("net"))
 
 
-def shuffled_drawdowns(returns: DataFrame, n: int, seed: int) -> DataFrame:
-    """path, drawdown of n random orders of returns (id, ret); an order follows from a hash, so that reruns agree.
+def shuffled_drawdowns(returns: DataFrame, n: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, path, drawdown of n random orders of each group's returns (by, id, ret); an order follows from a hash, so that
+    reruns agree.
 
-    Every path is one sort of all returns: meant for a strategy's period returns."""
+    Every path is one sort of all returns of its group: meant for a strategy's period returns."""
     paths = returns.sparkSession.range(n).select(F.col("id").alias("path"))
     dealt = returns.crossJoin(F.broadcast(paths)).withColumn("_o", F.xxhash64("path", "id", F.lit(seed)))  # n rows
-    w = Window.partitionBy("path").orderBy("_o", "id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "path").orderBy("_o", "id").rowsBetween(Window.unboundedPreceding, 0)
     path = dealt.withColumn("_c", F.sum("ret").over(w))
-    return path.withColumn("_d", F.max("_c").over(w) - F.col("_c")).groupBy("path").agg(F.max("_d").alias("drawdown"))
+    return path.withColumn("_d", F.max("_c").over(w) - F.col("_c")).groupBy(*by, "path").agg(F.max("_d").alias("drawdown"))
 
 
 def noisy(df: DataFrame, x: str, level: float, seed: int) -> DataFrame:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from plumbline.operators.events import shuffled_drawdowns
 from plumbline.operators.portfolio import hierarchical_weights
 from plumbline.plans.registry import QUERIES
 from plumbline.sources import views
@@ -61,3 +66,38 @@ def test_the_hierarchical_book_holds_every_symbol(spark):
     got = {(r["date"].year, r["symbol"]): r["weight"] for r in QUERIES["r17_hierarchical_book"](spark, sf).collect()}
     assert got.keys() == want.keys() and len({s for _, s in got}) == p["symbol"].nunique() > 12
     assert [k for k in want if abs(got[k] - want[k]) > 2e-6] == []
+
+
+def test_every_event_and_order_is_studied(spark, sf):
+    events = {r["event_id"] for r in views.table(spark, sf, "events").select("event_id").collect()}
+    windows = [r["event_id"] for r in QUERIES["r26_event_windows_all"](spark, sf).select("event_id").collect()]
+    assert sorted(windows) == sorted(events)
+    quotes = {i for i in events if i % 3 == 0}
+    for name in ("j05_as_of_backward_all", "j06_as_of_forward_all"):
+        assert {r["event_id"] for r in QUERIES[name](spark, sf).select("event_id").collect()} | quotes == events
+    close = {(r["symbol"], r["date"]): r["close"] for r in views.panel(spark, sf).collect()}
+    days = {s: sorted(d for t, d in close if t == s) for s, _ in close}
+    nation = {r["n_nationkey"]: r["n_name"] for r in views.table(spark, sf, "nation").collect()}
+    home = {r["c_custkey"]: nation.get(r["c_nationkey"]) for r in views.table(spark, sf, "customer").collect()}
+    want = {1: [], -1: []}
+    for r in views.table(spark, sf, "orders").collect():
+        s, day, sign = home.get(r["o_custkey"]), r["o_orderdate"].date(), 1 if r["o_orderkey"] % 2 == 0 else -1
+        at = [next(iter(days.get(s, [])[bisect_left(days.get(s, []), x) :]), None) for x in (day, day + dt.timedelta(days=30))]
+        if None not in at:
+            want[sign].append(sign * (close[s, at[1]] / close[s, at[0]] - 1))
+    got = {r["review"]: (r["legs"], r["net"]) for r in QUERIES["r22_index_changes_all"](spark, sf).collect()}
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v) - 0.002, abs=2e-6)) for k, v in want.items()}
+
+
+def test_every_symbol_is_shuffled(spark, sf):
+    got = Counter(r["symbol"] for r in QUERIES["r27_shuffled_drawdowns"](spark, sf).collect())
+    assert got == {r["symbol"]: 50 for r in views.bars(spark, sf).select("symbol").distinct().collect()} and len(got) > 1
+
+
+def test_drawdowns_of_a_group_are_those_of_its_rows_alone(spark):
+    rows = [(s, i, (i * 7 % 5 - 2.0) * k) for k, s in enumerate("ab", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "symbol string, id long, ret double")
+    both = {(r["symbol"], r["path"]): r["drawdown"] for r in shuffled_drawdowns(df, 4, 7, ("symbol",)).collect()}
+    for s in "ab":
+        alone = {(s, r["path"]): r["drawdown"] for r in shuffled_drawdowns(df.where(F.col("symbol") == s), 4, 7).collect()}
+        assert alone.items() <= both.items() and len(alone) == 4
