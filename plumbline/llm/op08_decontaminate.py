@@ -1,9 +1,8 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check."""
+"""Benchmark decontamination: an index of the items' shingles, and exact weighted similarity of every item-sized window."""
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .op04_simhash import simhash_of
 from .textbytes import ALNUM_LOWER, LOWER, Hashes, counts, mix, pieces
 
 WORDS = 5
-SIMILAR = 0.8
-#: Two windows of similarity 0.8 differ by about 10 bits of 64, with a deviation of 3.
-RADIUS = 16
-#: Windows begin where an item would if a shared shingle stood in its place in it, or up to this many words from there.
-SLACK = 2
+#: Windows of a and b shingles that share s are similar (s / (a + b - s) is 0.8 or more) if SHARE[0] * s >= SHARE[1] * (a + b).
+SHARE = 9, 4
 #: Bytes of benchmark text in one index; a larger benchmark is taken in blocks of that size.
 INDEX_BYTES = 32 << 20
 _HASH_BITS = 20
@@ -52,7 +47,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """Items by their shingles (for where to look) and by blocks of their fingerprints (for what is looked up)."""
+    """Items by their distinct shingles, and how often each stands in an item."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         words = [np.zeros(0, np.uint64)] * len(ids)
@@ -63,43 +58,16 @@ class Index:
         keep = [i for i, w in enumerate(words) if len(w)]
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.length = np.array([len(words[i]) for i in keep], np.int64)
-        self.shingles = [shingle_hashes(words[i], min(WORDS, len(words[i]))) for i in keep]
-        self.weights = [Counter(s.tolist()) for s in self.shingles]
-        flat = np.concatenate(self.shingles) if keep else np.zeros(0, np.uint64)
-        sizes = np.array([len(s) for s in self.shingles], np.int64)
-        item = np.repeat(np.arange(len(keep)), sizes)
-        offset, _ = spread(np.zeros(len(keep), np.int64), sizes)
+        held = [Counter(shingle_hashes(words[i], min(WORDS, len(words[i]))).tolist()) for i in keep]
+        flat = np.array([h for c in held for h in c], np.uint64)
         order = np.argsort(flat, kind="stable")
         self.key, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
-        self.item, self.offset = item[order], offset[order]
+        self.item = np.repeat(np.arange(len(keep)), [len(c) for c in held])[order]
+        times = [n for c in held for n in c.values()]
+        self.times = [times[i] for i in order.tolist()]
         self.seen = np.zeros(1 << _HASH_BITS, bool)
         self.seen[(self.key & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)] = True
         self.short = sorted({int(n) for n in self.length if n < WORDS})
-        self.fp = simhash_of(flat, item, len(keep))
-        # RADIUS + 1 blocks: fingerprints within RADIUS bits agree on one of them
-        edges = np.linspace(0, 64, RADIUS + 2).astype(int)
-        self.blocks = []
-        for lo, hi in pairwise(edges.tolist()):
-            value = self._block(self.fp, lo, hi)
-            by = np.argsort(value, kind="stable")
-            ends = np.searchsorted(value[by], np.arange((1 << (hi - lo)) + 1))
-            self.blocks.append((lo, hi, by, ends))
-
-    @staticmethod
-    def _block(fp: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return ((fp >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-
-    def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (position in fp, item) within RADIUS bits."""
-        found = []
-        for lo, hi, by, ends in self.blocks:
-            value = self._block(fp, lo, hi)
-            at, which = spread(ends[value], ends[value + 1] - ends[value])
-            item = by[at]
-            close = np.bitwise_count(fp[which] ^ self.fp[item]) <= RADIUS
-            found.append(which[close] * len(self.fp) + item[close])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // max(1, len(self.fp)), pairs % max(1, len(self.fp))
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of h that are a shingle of some item, and its number."""
@@ -108,10 +76,32 @@ class Index:
         same = self.key[k] == h[at] if len(self.key) else np.zeros(0, bool)
         return at[same], k[same]
 
+    def _slide(self, at: list[int], post: list[int], ranges, own: int, wide: int) -> tuple[float, int]:
+        """Best similarity and number of the similar windows (wide shingles from a start in ranges) to one item (own
+        shingles) that has its shingle post[i] at place at[i]. Counts roll along, so the work is linear in the hits."""
+        held: dict[int, int] = {}
+        best, many, shared, left, right, done = 0.0, 0, 0, 0, 0, -1
+        for lo, hi in ranges:
+            for s in range(max(lo, done), hi + 1):
+                while right < len(at) and at[right] < s + wide:
+                    k = post[right]
+                    held[k] = held.get(k, 0) + 1
+                    shared += held[k] <= self.times[k]
+                    right += 1
+                while left < right and at[left] < s:
+                    k = post[left]
+                    shared -= held[k] <= self.times[k]
+                    held[k] -= 1
+                    left += 1
+                if SHARE[0] * shared >= SHARE[1] * (own + wide):
+                    best, many = max(best, shared / (own + wide - shared)), many + 1
+            done = max(done, hi + 1)
+        return best, many
+
     def scan(self, p) -> dict[int, tuple[set[int], float, int]]:
         """Row of a piece: the items that a window of it is similar to, the best similarity, how many windows are."""
         out: dict[int, tuple[set[int], float, int]] = {}
-        if not len(self.fp):
+        if not len(self.length):
             return out
         words, row = word_hashes(p)
         total = counts(row, p.rows)
@@ -124,31 +114,32 @@ class Index:
             if not len(at):
                 continue
             post, which = spread(self.first[k], self.many[k])
-            size = self.length[self.item[post]]
-            fits = np.minimum(size, WORDS) == n
-            start, size = (at[which] - self.offset[post])[fits], size[fits]
-            r = row[at[which]][fits]
-            slack = np.arange(-SLACK, SLACK + 1)
-            start, size, r = (start[:, None] + slack).ravel(), np.repeat(size, len(slack)), np.repeat(r, len(slack))
-            size = np.minimum(size, total[r])
-            start = np.clip(start, begin[r], begin[r] + total[r] - size)
-            start, size = np.unique(np.stack([start, size]), axis=1)
-            r = row[start]
-            span, window = spread(start, np.maximum(size - n + 1, 1))
-            fp = simhash_of(h[span], window, len(start))
-            bounds = np.searchsorted(window, np.arange(len(start) + 1))
-            weights: dict[int, Counter] = {}
-            for w, i in zip(*(x.tolist() for x in self.near(fp)), strict=True):
-                if self.length[i] < WORDS and self.length[i] != n:
-                    continue
-                if w not in weights:
-                    weights[w] = Counter(h[span[bounds[w] : bounds[w + 1]]].tolist())
-                a, b = weights[w], self.weights[i]
-                shared = (a & b).total()
-                similarity = shared / (a.total() + b.total() - shared)
-                if similarity >= SIMILAR:
-                    items, best, many = out.get(int(r[w]), (set(), 0.0, 0))
-                    out[int(r[w])] = (items | {int(self.ids[i])}, max(best, similarity), many + 1)
+            fits = np.minimum(self.length[self.item[post]], WORDS) == n
+            post, at = post[fits], at[which][fits]
+            order = np.lexsort((at, self.item[post], row[at]))
+            post, at = post[order], at[order]
+            item, r = self.item[post], row[at]
+            pair = np.cumsum((np.diff(item, prepend=-1) != 0) | (np.diff(r, prepend=-1) != 0)) - 1
+            own, size = self.length[item] - n + 1, np.minimum(self.length[item], total[r])
+            wide = size - n + 1
+            need = -(-SHARE[1] * (own + wide) // SHARE[0])
+            # hits i to i + need - 1 of a row and an item must lie in a window
+            i = np.arange(len(at))
+            last = i + need - 1
+            i = i[last < len(at)]
+            i = i[(pair[last[i]] == pair[i]) & (at[last[i]] - at[i] < wide[i])]
+            if not len(i):
+                continue
+            lo, hi = np.maximum(at[last[i]] - wide[i] + 1, begin[r[i]]), np.minimum(at[i], (begin + total)[r[i]] - size[i])
+            bounds = np.searchsorted(pair, np.arange(pair[-1] + 2))
+            new = np.flatnonzero(np.diff(pair[i], prepend=-1)).tolist()
+            for a, b in zip(new, [*new[1:], len(i)], strict=True):
+                x = i[a]
+                hits = slice(bounds[pair[x]], bounds[pair[x] + 1])
+                best, many = self._slide(at[hits].tolist(), post[hits].tolist(), zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True), int(own[x]), int(wide[x]))
+                if many:
+                    items, most, windows = out.get(int(r[x]), (set(), 0.0, 0))
+                    out[int(r[x])] = (items | {int(self.ids[item[x]])}, max(most, best), windows + many)
         return out
 
 
@@ -171,7 +162,7 @@ def matches(benchmark: DataFrame, text: str | Column) -> Column:
     benchmark: item_id, text. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the lower-cased text. A window of as
     many words as an item has (the whole text if that is shorter) matches if the multisets of its and the item's
     5-word shingles have a weighted Jaccard similarity of 0.8 or more; an item of fewer words matches only itself.
-    Only windows that share a shingle with an item can, so fingerprints are taken around those. Null or blank items
+    Every window that holds enough of an item's shingles is compared, whatever their order. Null or blank items
     match nothing, null or blank texts contain nothing. The index is sent to tasks in blocks of INDEX_BYTES at most.
     """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
