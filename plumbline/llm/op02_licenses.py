@@ -32,6 +32,10 @@ _BSD = """redistribution and use in source and binary forms with or without modi
 conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the
 following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the
 following disclaimer in the documentation and or other materials provided with the distribution"""
+_FSF = "as published by the free software foundation"
+#: Opening words of the Free Software Foundation's licenses; the copyright line has years, a name and sometimes an address.
+_FSF_OPENING = """copyright {20} everyone is permitted to copy and distribute verbatim copies of this license document but changing it
+is not allowed"""
 TEMPLATES = {
     "mit-notice": ["[[this {3} is]] [[released]] [[distributed]] under the [[terms of the]] mit license"],
     "mit-text": [
@@ -50,12 +54,52 @@ TEMPLATES = {
         f"""{_BSD} [[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products
         derived from this software without specific prior written permission {_BSD_END}"""
     ],
-    "apache-2.0": ["licensed under the apache license version 2 0", "licensed under the terms of the apache license [[version]] 2 0"],
-    "gpl-2.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"],
-    "gpl-3.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"],
-    "lgpl": ["licensed under the [[terms of the]] gnu lesser general public license"],
-    "agpl-3.0": ["licensed under the [[terms of the]] gnu affero general public license [[version 3]]"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "licensed under the terms of the apache license [[version]] 2 0",
+        """apache license version 2 0 january 2004 [[http]] [[https]] [[www apache org licenses]] terms and conditions for use reproduction and
+        distribution [[1]] definitions {1} shall mean the terms and conditions for use reproduction and distribution as defined by sections
+        1 through 9 of this document""",
+    ],
+    "gpl-2.0": [
+        "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2",
+        f"under the terms of the gnu general public license {_FSF} [[either]] version 2",
+        f"under the terms of the gnu general public license version 2 [[only]] {_FSF}",
+        "under the terms of version 2 of the gnu general public license",
+        f"""gnu general public license version 2 june 1991 {_FSF_OPENING} preamble the licenses for most software are designed to take away
+        your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom""",
+    ],
+    "gpl-3.0": [
+        "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3",
+        f"under the terms of the gnu general public license {_FSF} [[either]] version 3",
+        f"under the terms of the gnu general public license version 3 [[only]] {_FSF}",
+        "under the terms of version 3 of the gnu general public license",
+        f"""gnu general public license version 3 29 june 2007 {_FSF_OPENING} preamble the gnu general public license is a free copyleft
+        license for software and other kinds of works""",
+    ],
+    "lgpl": [
+        "licensed under the [[terms of the]] gnu lesser general public license",
+        f"under the terms of the gnu lesser general public license [[version {{2}}]] [[only]] {_FSF}",
+        f"under the terms of the gnu library general public license [[version {{2}}]] [[only]] {_FSF}",
+        "under the terms of version {2} of the gnu lesser general public license",
+        f"gnu lesser general public license version 2 1 february 1999 {_FSF_OPENING}",
+        f"gnu library general public license version 2 june 1991 {_FSF_OPENING}",
+        f"""gnu lesser general public license version 3 29 june 2007 {_FSF_OPENING} this version of the gnu lesser general public license
+        incorporates the terms and conditions of version 3 of the gnu general public license""",
+    ],
+    "agpl-3.0": [
+        "licensed under the [[terms of the]] gnu affero general public license [[version 3]]",
+        f"under the terms of the gnu affero general public license {_FSF} [[either]] version 3",
+        f"under the terms of the gnu affero general public license version 3 [[only]] {_FSF}",
+        "under the terms of version 3 of the gnu affero general public license",
+        f"""gnu affero general public license version 3 19 november 2007 {_FSF_OPENING} preamble the gnu affero general public license is a
+        free copyleft license for software and other kinds of works""",
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        """mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to
+        the creation of or owns covered software""",
+    ],
     "cc-by-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by 4 0"],
     "cc-by-sa-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0"],
     "cc-by-nc-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0"],
