@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver share (spark.checkpoint.dir).
 
-    Only where the session names none (local tests) a temporary folder is chosen.
+    Only in a local session, which has one machine, a temporary folder is chosen where none is named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -54,8 +56,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(df: DataFrame) -> None:
-    """Delete a table made by materialize() that no later step reads."""
+    """Delete a table made by materialize() that no later step reads; other frames are left alone."""
     path = getattr(df, "_plumbline_path", None)
     if path:
         jvm = df.sparkSession._jvm

@@ -38,7 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, mark, now = mark, _mark(after), after
         if mark == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._plumbline_path = now._plumbline_path
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -1,6 +1,6 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns, inside tasks.
 
-A batch is cut into pieces of about a megabyte, so that temporaries stay small whatever the batch holds; a text
+A batch is cut into pieces of about a quarter of a megabyte, so that temporaries stay small whatever the batch holds; a text
 longer than that is a piece of its own.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def class_table(excluded: bytes) -> np.ndarray:
