@@ -1,94 +1,123 @@
 """Recursions along a symbol's rows: smoothed indicators, CUSUM, tick filter, holdings.
 
-Each symbol is one group of a pandas function over the few columns it needs; the recursion is a plain loop.
+Each symbol is a sorted run of rows that streams through a task, so that a symbol of any length needs the memory of one
+batch and of the recursion's few numbers.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import last_n
 
+_KINDS = {"double": pa.float64(), "string": pa.string(), "int": pa.int32()}
+
 
-def grouped(df: DataFrame, fold, out: dict[str, str], by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Adds the columns that fold(pandas frame in order) returns, as a dict of arrays, to every group."""
+def streamed(df: DataFrame, make: Callable[[], Callable[..., tuple]], inputs: list[str], out: dict[str, str], by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Adds the columns out to df. make() begins a group: the function that it returns takes a row's inputs, row by row in
+    order, and returns the row's new values."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in out.items())])
+    kinds = [_KINDS[v] for v in out.values()]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        return pdf.assign(**fold(pdf))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for b in batches:
+            made = []
+            keys = zip(*(b.column(c).to_pylist() for c in by), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in inputs), strict=True)
+            for k, row in zip(keys, rows, strict=True):
+                if step is None or k != key:
+                    key, step = k, make()
+                made.append(step(*row))
+            new = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *out])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
+def ema(n: int) -> Callable[[float | None], float | None]:
     """Exponential average with weight 2 / (n + 1), begun by the mean of the first n values; missing before."""
-    out = np.full(len(x), np.nan)
-    known = np.flatnonzero(~np.isnan(x))
-    if len(known) < n:
-        return out
-    first = known[0]
-    e = x[first : first + n].mean()
-    out[first + n - 1] = e
-    for i in range(first + n, len(x)):
-        e += (x[i] - e) * 2 / (n + 1)
-        out[i] = e
-    return out
+    held, count = 0.0, 0
 
+    def push(x: float | None) -> float | None:
+        nonlocal held, count
+        if x is None:
+            return None
+        count += 1
+        if count <= n:
+            held += x / n
+            return held if count == n else None
+        held += (x - held) * 2 / (n + 1)
+        return held
 
-def _none(x: np.ndarray) -> pd.Series:
-    return pd.Series(x).astype(object).where(~np.isnan(x), None)
+    return push
 
 
 def rsi(bars: DataFrame, n: int) -> DataFrame:
     """Wilder's relative strength: averages of gains and losses begun by a plain mean; 0 without any change."""
 
-    def fold(p: pd.DataFrame) -> dict:
-        change = np.diff(p["close"].to_numpy(float))
-        out = np.full(len(p), np.nan)
-        if len(change) >= n:
-            up, down = np.maximum(change, 0), np.maximum(-change, 0)
-            u, d = up[:n].mean(), down[:n].mean()
-            for i in range(n, len(change) + 1):
-                out[i] = 100 * u / (u + d) if u + d else 0.0
-                if i < len(change):
-                    u, d = (u * (n - 1) + up[i]) / n, (d * (n - 1) + down[i]) / n
-        return {"rsi": _none(out)}
+    def make():
+        last, count, up, down = None, 0, 0.0, 0.0
+
+        def step(close):
+            nonlocal last, count, up, down
+            change, last = (None if last is None or close is None else close - last), close
+            if change is None:
+                return (None,)
+            count += 1
+            keep = 1.0 if count <= n else (n - 1) / n
+            up, down = up * keep + max(change, 0) / n, down * keep + max(-change, 0) / n
+            if count < n:
+                return (None,)
+            return (100 * up / (up + down) if up + down else 0.0,)
 
-    return grouped(bars, fold, {"rsi": "double"})
+        return step
+
+    return streamed(bars, make, ["close"], {"rsi": "double"})
 
 
 def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     """Difference of two exponential averages, and its distance from its own average."""
 
-    def fold(p: pd.DataFrame) -> dict:
-        x = p["close"].to_numpy(float)
-        line = ema(x, fast) - ema(x, slow)
-        return {"macd": _none(line), "histogram": _none(line - ema(line, signal))}
+    def make():
+        a, b, own = ema(fast), ema(slow), ema(signal)
+
+        def step(close):
+            x, y = a(close), b(close)
+            line = None if x is None or y is None else x - y
+            mean = own(line)
+            return line, None if mean is None else line - mean
 
-    return grouped(bars, fold, {"macd": "double", "histogram": "double"})
+        return step
+
+    return streamed(bars, make, ["close"], {"macd": "double", "histogram": "double"})
 
 
 def directional_index(bars: DataFrame, n: int) -> DataFrame:
     """Wilder's directional index of smoothed up and down moves; both are divided by the same true range, which cancels."""
 
-    def fold(p: pd.DataFrame) -> dict:
-        up, down = np.diff(p["high"].to_numpy(float)), -np.diff(p["low"].to_numpy(float))
-        plus, minus = np.where((up > down) & (up > 0), up, 0), np.where((down > up) & (down > 0), down, 0)
-        out = np.full(len(p), np.nan)
-        if len(plus) >= n:
-            a, b = plus[:n].sum(), minus[:n].sum()
-            for i in range(n, len(plus) + 1):
-                out[i] = 100 * abs(a - b) / (a + b) if a + b else np.nan
-                if i < len(plus):
-                    a, b = a - a / n + plus[i], b - b / n + minus[i]
-        return {"dx": _none(out)}
+    def make():
+        last, count, plus, minus = None, 0, 0.0, 0.0
+
+        def step(high, low):
+            nonlocal last, count, plus, minus
+            before, last = last, (high, low)
+            if before is None:
+                return (None,)
+            up, down = high - before[0], before[1] - low
+            count += 1
+            keep = 1.0 if count <= n else 1 - 1 / n
+            plus, minus = plus * keep + (up if up > down and up > 0 else 0), minus * keep + (down if down > up and down > 0 else 0)
+            return (100 * abs(plus - minus) / (plus + minus) if count >= n and plus + minus else None,)
 
-    return grouped(bars, fold, {"dx": "double"})
+        return step
+
+    return streamed(bars, make, ["high", "low"], {"dx": "double"})
 
 
 def frac_diff_weights(d: float, threshold: float) -> list[float]:
@@ -112,9 +141,11 @@ def bad_ticks(bars: DataFrame, most: float) -> DataFrame:
     """Adds reason: non_positive, negative_volume, inconsistent, spike (the close is over most percent from that of
     the last bar that was kept), or missing for good bars."""
 
-    def fold(p: pd.DataFrame) -> dict:
-        reasons, last = [], None
-        for o, h, low, c, v in zip(p["open"], p["high"], p["low"], p["close"], p["volume"], strict=True):
+    def make():
+        last = None
+
+        def step(o, h, low, c, v):
+            nonlocal last
             why = None
             if min(o, h, low, c) <= 0:
                 why = "non_positive"
@@ -126,10 +157,11 @@ def bad_ticks(bars: DataFrame, most: float) -> DataFrame:
                 why = "spike"
             if why is None:
                 last = c
-            reasons.append(why)
-        return {"reason": reasons}
+            return (why,)
 
-    return grouped(bars, fold, {"reason": "string"})
+        return step
+
+    return streamed(bars, make, ["open", "high", "low", "close", "volume"], {"reason": "string"})
 
 
 def cusum(bars: DataFrame, threshold: float, x: str = "ret") -> DataFrame:
@@ -137,32 +169,48 @@ def cusum(bars: DataFrame, threshold: float, x: str = "ret") -> DataFrame:
 
     The side that fires begins anew; when up fires, down keeps its sum."""
 
-    def fold(p: pd.DataFrame) -> dict:
+    def make():
         up = down = 0.0
-        events = []
-        for r in p[x]:
-            fired = 0
-            if r is not None and r == r:
-                up, down = max(0.0, up + r), min(0.0, down + r)
-                if up > threshold:
-                    up, fired = 0.0, 1
-                elif down < -threshold:
-                    down, fired = 0.0, -1
-            events.append(fired)
-        return {"event": events}
 
-    return grouped(bars, fold, {"event": "int"})
+        def step(r):
+            nonlocal up, down
+            if r is None or r != r:
+                return (0,)
+            up, down = max(0.0, up + r), min(0.0, down + r)
+            if up > threshold:
+                up = 0.0
+                return (1,)
+            if down < -threshold:
+                down = 0.0
+                return (-1,)
+            return (0,)
+
+        return step
+
+    return streamed(bars, make, [x], {"event": "int"})
 
 
 def held_weights(targets: DataFrame, band: float, most: float) -> DataFrame:
     """Adds held: the weight moves to its target (weight; date, symbol) only by more than band times most."""
+    return _holding(targets, lambda want, held: band * most)
+
+
+def banded_weights(targets: DataFrame, band: float) -> DataFrame:
+    """Adds held: the weight moves to its target (weight; date, symbol) only by more than band times the larger of both,
+    so that a name which enters or leaves always trades. targets has a row for every name on every date."""
+    return _holding(targets, lambda want, held: band * max(abs(want), abs(held)))
+
+
+def _holding(targets: DataFrame, least: Callable[[float, float], float]) -> DataFrame:
+    def make():
+        held = 0.0
+
+        def step(want):
+            nonlocal held
+            if abs(want - held) > least(want, held):
+                held = want
+            return (held,)
 
-    def fold(p: pd.DataFrame) -> dict:
-        held, out = 0.0, []
-        for t in p["weight"]:
-            if abs(t - held) > band * most:
-                held = t
-            out.append(held)
-        return {"held": out}
+        return step
 
-    return grouped(targets, fold, {"held": "double"}, order=("date",))
+    return streamed(targets, make, ["weight"], {"held": "double"}, order=("date",))
