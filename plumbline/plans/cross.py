@@ -297,25 +297,19 @@ def vol_target(spark, d):
     return _with_vol(spark, d).select("date", "symbol", *r6(scale=P.vol_target(F.col("vol"), 0.5, 2.0)))
 
 
-HELD = f"""WITH RECURSIVE {PANEL}, t AS (SELECT date, symbol, round(coalesce(volume, 0) / 500.0, 4) AS weight, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM panel WHERE symbol IN ('NATION_1', 'NATION_2')),
+HELD = f"""WITH RECURSIVE {PANEL}, t AS (SELECT date, symbol, round(coalesce(volume, 0) / 500.0, 4) AS weight, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM panel),
     f AS (SELECT symbol, i, CASE WHEN abs(weight) > 0.03 THEN weight ELSE 0 END AS held FROM t WHERE i = 1
       UNION ALL SELECT t.symbol, t.i, CASE WHEN abs(t.weight - held) > 0.03 THEN t.weight ELSE held END FROM f JOIN t ON t.symbol = f.symbol AND t.i = f.i + 1)
     SELECT date, symbol, round(held, 4) AS held FROM t JOIN f USING (symbol, i)"""
 
 
-@query("r05_held_weights_all", HELD.replace(" WHERE symbol IN ('NATION_1', 'NATION_2')", ""))
-def held_all(spark, d):
+@query("r05_held_weights", HELD)
+def held(spark, d):
     """Holdings of every symbol of the panel."""
     p = views.panel(spark, d).select("date", "symbol", F.round(F.col("volume") / 500.0, 4).alias("weight"))
     return held_weights(p, 0.3, 0.1).select("date", "symbol", F.round("held", 4).alias("held"))
 
 
-@query("r05_held_weights", HELD)
-def held(spark, d):
-    """Those of two symbols, as its SQL has it."""
-    return held_all(spark, d).where("symbol in ('NATION_1', 'NATION_2')")
-
-
 @query(
     "r06_monthly_backtest",
     f"""WITH {PANEL}, {RET}, {VOL}, {BOOK}, e AS (SELECT max(date) AS date FROM panel GROUP BY date_trunc('month', date)),

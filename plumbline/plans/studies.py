@@ -81,13 +81,14 @@ def risk_parity(spark, d):
 
 
 INDEX_CHANGES = f"""WITH {PANEL}, ch AS (SELECT o_orderkey AS review, n_name AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS sign, o_orderdate::DATE AS a, o_orderdate::DATE + 30 AS b
-      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 7 = 0),
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
     e AS (SELECT ch.*, p.close AS pa FROM ch ASOF JOIN panel p ON ch.symbol = p.symbol AND ch.a <= p.date), f AS (SELECT e.*, p.close AS pb FROM e ASOF JOIN panel p ON e.symbol = p.symbol AND e.b <= p.date)
     SELECT sign AS review, count(*) AS legs, round(avg(sign * (pb / pa - 1)) - 0.002, 6) AS net FROM f GROUP BY sign"""
 
 
-def _index_changes(spark, d, o):
-    c, n = (views.table(spark, d, t) for t in ("customer", "nation"))
+@query("r22_index_changes", INDEX_CHANGES)
+def index_changes(spark, d):
+    o, c, n = (views.table(spark, d, t) for t in ("orders", "customer", "nation"))
     ch = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     sign = F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
     ch = ch.select(sign.alias("review"), F.col("n_name").alias("symbol"), sign.alias("sign"), F.to_date("o_orderdate").alias("announced"), F.date_add("o_orderdate", 30).alias("effective"))
@@ -95,37 +96,16 @@ def _index_changes(spark, d, o):
     return out.select("review", "legs", *r6(net=F.col("net")))
 
 
-@query("r22_index_changes", INDEX_CHANGES)
-def index_changes(spark, d):
-    """Of one order in seven, as its SQL has it."""
-    return _index_changes(spark, d, views.table(spark, d, "orders").where("o_orderkey % 7 = 0"))
-
-
-@query("r22_index_changes_all", INDEX_CHANGES.replace(" WHERE o_orderkey % 7 = 0", ""))
-def index_changes_all(spark, d):
-    return _index_changes(spark, d, views.table(spark, d, "orders"))
-
-
 EVENT_WINDOWS = f"""WITH {BARS}, st AS (SELECT symbol, ts, close / lag(close, 3) OVER w - 1 AS pre, lead(close) OVER w / close - 1 AS reaction, lead(close, 6) OVER w / lead(close) OVER w - 1 AS drift FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-    ev AS (SELECT event_id, event_type AS symbol, ts FROM events WHERE event_id % 11 = 0)
+    ev AS (SELECT event_id, event_type AS symbol, ts FROM events)
     SELECT event_id, round(pre, 6) AS pre, round(reaction, 6) AS reaction, round(drift, 6) AS drift FROM ev ASOF LEFT JOIN st ON ev.symbol = st.symbol AND ev.ts >= st.ts"""
 
 
-def _event_windows(spark, d, events):
-    ev = events.select("event_id", F.col("event_type").alias("symbol"), "ts")
-    out = E.event_windows(ev, views.bars(spark, d), 3, 5)
-    return out.select("event_id", *r6(pre=F.col("pre"), reaction=F.col("reaction"), drift=F.col("drift")))
-
-
 @query("r26_event_windows", EVENT_WINDOWS)
 def event_windows(spark, d):
-    """Of one event in eleven, as its SQL has it."""
-    return _event_windows(spark, d, views.table(spark, d, "events").where("event_id % 11 = 0"))
-
-
-@query("r26_event_windows_all", EVENT_WINDOWS.replace(" WHERE event_id % 11 = 0", ""))
-def event_windows_all(spark, d):
-    return _event_windows(spark, d, views.table(spark, d, "events"))
+    ev = views.table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), "ts")
+    out = E.event_windows(ev, views.bars(spark, d), 3, 5)
+    return out.select("event_id", *r6(pre=F.col("pre"), reaction=F.col("reaction"), drift=F.col("drift")))
 
 
 @query("r27_shuffled_drawdowns")

@@ -206,38 +206,23 @@ def back_adjusted(spark, d):
     return hygiene.back_adjusted(views.bars(spark, d), a).select("symbol", "ts", *r6(adj_close=F.col("adj_close")))
 
 
-BACKWARD = f"""WITH {TRADES}, q AS (SELECT symbol, ts, price FROM trades WHERE event_id % 3 = 0), l AS (SELECT event_id, symbol, ts FROM trades WHERE event_id % 3 = 1)
-    SELECT l.event_id, q.price FROM l ASOF LEFT JOIN q ON l.symbol = q.symbol AND l.ts >= q.ts"""
+SIDES = f"{TRADES}, q AS (SELECT symbol, ts, price FROM trades WHERE event_id % 3 = 0), l AS (SELECT event_id, symbol, ts FROM trades WHERE event_id % 3 <> 0)"
 
 
-@query("j05_as_of_backward", BACKWARD)
-def as_of_backward(spark, d):
-    """A third of the trades is on neither side, as its SQL has it."""
+def _as_of(spark, d, forward):
+    """Every trade is on one of the sides: a third are quotes for the others."""
     t = views.trades(spark, d)
-    return joins.as_of(t.where("event_id % 3 = 1").select("event_id", "symbol", "ts"), t.where("event_id % 3 = 0"), values=("price",)).select("event_id", "price")
-
+    return joins.as_of(t.where("event_id % 3 <> 0").select("event_id", "symbol", "ts"), t.where("event_id % 3 = 0"), values=("price",), forward=forward).select("event_id", "price")
 
-@query("j05_as_of_backward_all", BACKWARD.replace("event_id % 3 = 1", "event_id % 3 <> 0"))
-def as_of_backward_all(spark, d):
-    t = views.trades(spark, d)
-    return joins.as_of(t.where("event_id % 3 <> 0").select("event_id", "symbol", "ts"), t.where("event_id % 3 = 0"), values=("price",)).select("event_id", "price")
 
-
-FORWARD = f"""WITH {TRADES}, q AS (SELECT symbol, ts, price FROM trades WHERE event_id % 3 = 0), l AS (SELECT event_id, symbol, ts FROM trades WHERE event_id % 3 = 1)
-    SELECT l.event_id, q.price FROM l ASOF LEFT JOIN q ON l.symbol = q.symbol AND l.ts <= q.ts"""
+@query("j05_as_of_backward", f"WITH {SIDES} SELECT l.event_id, q.price FROM l ASOF LEFT JOIN q ON l.symbol = q.symbol AND l.ts >= q.ts")
+def as_of_backward(spark, d):
+    return _as_of(spark, d, False)
 
 
-@query("j06_as_of_forward", FORWARD)
+@query("j06_as_of_forward", f"WITH {SIDES} SELECT l.event_id, q.price FROM l ASOF LEFT JOIN q ON l.symbol = q.symbol AND l.ts <= q.ts")
 def as_of_forward(spark, d):
-    """A third of the trades is on neither side, as its SQL has it."""
-    t = views.trades(spark, d)
-    return joins.as_of(t.where("event_id % 3 = 1").select("event_id", "symbol", "ts"), t.where("event_id % 3 = 0"), values=("price",), forward=True).select("event_id", "price")
-
-
-@query("j06_as_of_forward_all", FORWARD.replace("event_id % 3 = 1", "event_id % 3 <> 0"))
-def as_of_forward_all(spark, d):
-    t = views.trades(spark, d)
-    return joins.as_of(t.where("event_id % 3 <> 0").select("event_id", "symbol", "ts"), t.where("event_id % 3 = 0"), values=("price",), forward=True).select("event_id", "price")
+    return _as_of(spark, d, True)
 
 
 @query("j14_universe_mask", f"WITH {PANEL} SELECT date, symbol, close FROM panel SEMI JOIN (SELECT symbol FROM panel GROUP BY symbol HAVING sum(volume) > 1000) USING (symbol)")

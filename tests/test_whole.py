@@ -27,7 +27,7 @@ def test_every_symbol_is_held(spark, sf):
             target = round(volume / 500.0, 4)
             held = target if abs(target - held) > 0.3 * 0.1 else held
             want[date, symbol] = round(held, 4)
-    got = {(r["date"], r["symbol"]): r["held"] for r in QUERIES["r05_held_weights_all"](spark, sf).collect()}
+    got = {(r["date"], r["symbol"]): r["held"] for r in QUERIES["r05_held_weights"](spark, sf).collect()}
     assert got == want and len({s for _, s in got}) == panel["symbol"].nunique() > 2
 
 
@@ -45,7 +45,7 @@ def test_every_user_has_folds(spark, sf):
                     want.add((user, fold, i, "test"))
                 elif stop[i] < a or (start[i] > b and i > block[-1] + math.floor(n * 0.02)):
                     want.add((user, fold, i, "train"))
-    rows = QUERIES["r20_purged_folds_all"](spark, sf).collect()
+    rows = QUERIES["r20_purged_folds"](spark, sf).collect()
     assert {tuple(r[c] for c in ("user_id", "fold", "pos", "role")) for r in rows} == want and len(rows) == len(want)
     assert len({r["user_id"] for r in rows}) == events["user_id"].nunique() > 1
 
@@ -70,10 +70,10 @@ def test_the_hierarchical_book_holds_every_symbol(spark):
 
 def test_every_event_and_order_is_studied(spark, sf):
     events = {r["event_id"] for r in views.table(spark, sf, "events").select("event_id").collect()}
-    windows = [r["event_id"] for r in QUERIES["r26_event_windows_all"](spark, sf).select("event_id").collect()]
+    windows = [r["event_id"] for r in QUERIES["r26_event_windows"](spark, sf).select("event_id").collect()]
     assert sorted(windows) == sorted(events)
     quotes = {i for i in events if i % 3 == 0}
-    for name in ("j05_as_of_backward_all", "j06_as_of_forward_all"):
+    for name in ("j05_as_of_backward", "j06_as_of_forward"):
         assert {r["event_id"] for r in QUERIES[name](spark, sf).select("event_id").collect()} | quotes == events
     close = {(r["symbol"], r["date"]): r["close"] for r in views.panel(spark, sf).collect()}
     days = {s: sorted(d for t, d in close if t == s) for s, _ in close}
@@ -85,7 +85,7 @@ def test_every_event_and_order_is_studied(spark, sf):
         at = [next(iter(days.get(s, [])[bisect_left(days.get(s, []), x) :]), None) for x in (day, day + dt.timedelta(days=30))]
         if None not in at:
             want[sign].append(sign * (close[s, at[1]] / close[s, at[0]] - 1))
-    got = {r["review"]: (r["legs"], r["net"]) for r in QUERIES["r22_index_changes_all"](spark, sf).collect()}
+    got = {r["review"]: (r["legs"], r["net"]) for r in QUERIES["r22_index_changes"](spark, sf).collect()}
     assert got == {k: (len(v), pytest.approx(sum(v) / len(v) - 0.002, abs=2e-6)) for k, v in want.items()}
 
 
