@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import numbered
 from .joins import as_of
 
 
@@ -60,10 +61,11 @@ def shuffled_drawdowns(returns: DataFrame, n: int, seed: int, by: tuple[str, ...
 
 def noisy(df: DataFrame, x: str, level: float, seed: int) -> DataFrame:
     """x plus level population deviations of noise from a hash of the row's id (id, x)."""
-    scale = F.stddev_pop(x).over(Window.partitionBy(F.lit(0)))
+    scale = F.col("_scale")
+    spread = df.agg(F.stddev_pop(x).alias("_scale"))  # one row
     u = [(F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1_000_003)) + 0.5) / 1_000_003 for k in (0, 1)]
     normal = F.sqrt(-2 * F.ln(u[0])) * F.cos(6.283185307179586 * u[1])
-    return df.withColumn(x, F.col(x) + level * scale * normal)
+    return df.join(F.broadcast(spread)).withColumn(x, F.col(x) + level * scale * normal).drop("_scale")
 
 
 def permutation_importance(scores: DataFrame, features: list[str], predict, seed: int = 0) -> DataFrame:
@@ -73,8 +75,8 @@ def permutation_importance(scores: DataFrame, features: list[str], predict, seed
     base = scores.agg(F.avg(F.pow(predict(scores) - F.col("y"), 2)).alias("e")).first()["e"]
     out = []
     for k, f in enumerate(features):
-        a = scores.withColumn("_p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id", F.lit(seed)), "id")))
-        b = scores.select(F.col(f).alias("_x"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id", F.lit(seed + k + 1)), "id")).alias("_p"))
+        a = numbered(scores.withColumn("_h", F.xxhash64("id", F.lit(seed))), ["_h", "id"], "_p").drop("_h")
+        b = numbered(scores.select(F.col(f).alias("_x"), "id", F.xxhash64("id", F.lit(seed + k + 1)).alias("_h")), ["_h", "id"], "_p").select("_x", "_p")
         moved = a.join(b, "_p").withColumn(f, F.col("_x"))
         e = moved.agg(F.avg(F.pow(predict(moved) - F.col("y"), 2)).alias("e")).first()["e"]
         out.append((f, float(e - base) if e is not None and base is not None else None))

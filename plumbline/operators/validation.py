@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import upto
+from ..functions.columns import numbered, summed, upto
 
 EULER = 0.5772156649015329
 
@@ -69,8 +69,7 @@ def roc_auc(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """auc: the chance that a positive's score is above a negative's, ties half. Scores are counted by value first, so
     that the ordered pass sees one row for each distinct score."""
     per = scores.groupBy(p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    wins = summed(per, [p], "neg", "_upto").withColumn("wins", F.col("pos") * (F.col("_upto") - F.col("neg") / 2))
     return wins.agg(F.try_divide(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
@@ -148,3 +147,70 @@ def overfitting_probability(returns: DataFrame, partitions: int) -> DataFrame:
     ranked = outside.withColumn("rank", F.rank().over(w.orderBy("sr")) + (F.count("*").over(w.orderBy("sr").rangeBetween(0, 0)) - 1) / 2).withColumn("m", F.count("*").over(w))
     share = F.col("rank") / (F.col("m") + 1)
     return ranked.join(best, ["combo", "strategy"], "left_semi").select("combo", "strategy", F.ln(share / (1 - share)).alias("logit"))
+
+
+def leave_one_out(results: DataFrame, unit: str = "symbol", x: str = "ret") -> DataFrame:
+    """held_out, n, mean, sharpe of all results but one unit's, for every unit. Units are reduced to count, sum and sum of
+    squares once; each is then taken off the total."""
+    own = results.groupBy(unit).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
+    total = own.agg(*(F.sum(c).alias(f"all_{c}") for c in "nsq"))  # one row
+    rest = own.join(F.broadcast(total)).select(F.col(unit).alias("held_out"), *((F.col(f"all_{c}") - F.col(c)).alias(c) for c in "nsq"))
+    mean = F.try_divide("s", "n")
+    spread = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("s") * mean, F.col("n") - 1), F.lit(0.0)))
+    return rest.select("held_out", "n", mean.alias("mean"), F.try_divide(mean, F.when(spread > 0, spread)).alias("sharpe"))
+
+
+def dealt_groups(results: DataFrame, groups: int, order: list[str]) -> DataFrame:
+    """Adds grp: contiguous groups in order, the first n mod groups with one row more. Rows are counted by range partition,
+    so that no task sees all of them."""
+    placed = numbered(results, order, "_at")
+    n = placed.agg(F.count("*").alias("_n"))  # one row
+    small, extra = F.floor(F.col("_n") / groups), F.col("_n") % groups
+    cut = (small + 1) * extra
+    grp = F.when(F.col("_at") < cut, F.floor(F.col("_at") / (small + 1))).otherwise(extra + F.floor((F.col("_at") - cut) / F.greatest(small, F.lit(1))))
+    return placed.join(F.broadcast(n)).withColumn("grp", grp.cast("int")).drop("_at", "_n")
+
+
+def combinatorial_results(results: DataFrame, groups: int, test: int, order: list[str]) -> DataFrame:
+    """split, path and the columns of results, each row once for every split that tests its group."""
+    return dealt_groups(results, groups, order).join(F.broadcast(combinatorial_splits(results.sparkSession, groups, test)), "grp")
+
+
+def purged_combinations(labels: DataFrame, groups: int, test: int, embargo: float) -> DataFrame:
+    """split, pos, role of labels (pos, start, stop; pos from 0): combinatorial purged cross-validation. A label is tested
+    where its group is; it is trained on where it overlaps no tested group's time nor lies in the embargo after one."""
+    folds = purged_folds(labels, groups, embargo).withColumnRenamed("fold", "grp")
+    splits = combinatorial_splits(labels.sparkSession, groups, test).select("split", "grp")
+    met = folds.join(F.broadcast(splits), "grp").groupBy("split", "pos").agg(
+        F.max((F.col("role") == "test").cast("int")).alias("tested"), F.sum((F.col("role") == "train").cast("int")).alias("free")
+    )
+    role = F.when(F.col("tested") == 1, "test").when(F.col("free") == test, "train")
+    return met.select("split", "pos", role.alias("role")).where("role is not null")
+
+
+def per_year(n: Column, first: Column, last: Column) -> Column:
+    """Events per year of the calendar time between two days; missing without any."""
+    return F.try_divide(n.cast("double"), F.when(F.datediff(last, first) > 0, F.datediff(last, first) / 365.25))
+
+
+def trial_stats(trials: DataFrame, x: str = "sharpe") -> DataFrame:
+    """One row: trials, variance of their ratios (sample; 0 below two)."""
+    return trials.agg(F.count("*").alias("trials"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("variance"))
+
+
+def sensitivity(variants: DataFrame, base: str, x: str = "score") -> DataFrame:
+    """One row of variants (variant, score): base score, least, mean, deviation, share that keeps the base's sign, spread
+    over the absolute base."""
+    own = variants.where(F.col("variant") == base).agg(F.max(x).alias("base"))
+    return variants.join(F.broadcast(own)).agg(
+        F.max("base").alias("base"), F.min(x).alias("least"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"),
+        F.avg((F.signum(x) == F.signum("base")).cast("int")).alias("same_sign"),
+        F.try_divide(F.max(x) - F.min(x), F.abs(F.max("base"))).alias("spread"),
+    )
+
+
+def gate(stats: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """Adds a column for each test, whether it holds (a missing value fails), the names of those that fail, and passes."""
+    marked = stats.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tests.items()})
+    failed = F.array_compact(F.array(*(F.when(~F.col(k), F.lit(k)) for k in tests)))
+    return marked.withColumn("failed", F.array_join(failed, ",")).withColumn("passes", F.size(failed) == 0)
