@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import series
+from .folds import bad_ticks
+from .joins import as_of
 
 
 def trading_day(day: Column) -> Column:
@@ -23,9 +25,7 @@ def session_phase(ts: Column, pre: int = 9 * 60, opens: int = 9 * 60 + 15, close
 def gaps(bars: DataFrame, minutes: int) -> DataFrame:
     """symbol, ts, missing: bars that lack between two of a day; half a bar rounds to even. Nights are no gap."""
     w = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts")
-    step = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) / (60 * minutes) if hasattr(F, "timestamp_diff") else None
-    if step is None:
-        step = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))) / (60 * minutes)
+    step = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) / (60 * minutes)
     return bars.select("symbol", "ts", (F.bround(step) - 1).cast("long").alias("missing")).where("missing > 0")
 
 
@@ -97,3 +97,80 @@ def isolated_outliers(x: str, w, reach: int = 10, low: float = 0.6, high: float
     middle = (F.get(around, F.floor((n - 1) / 2).cast("int")) + F.get(around, F.floor(n / 2).cast("int"))) / 2
     share = F.try_divide(F.col(x), middle)
     return F.coalesce((share < low) | (share > high), F.lit(False))
+
+
+def calendar(days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """date, trading, next_day, previous_day, opens, closes of days (date), weekdays but for holidays (date) being trading
+    days; next and previous are strict and missing where days hold none; opens and closes are missing on other days.
+
+    days is a calendar, a few thousand rows, so its order is one task's."""
+    marked = days.select("date").distinct().join(holidays.select("date", F.lit(True).alias("_off")).distinct(), "date", "left")
+    marked = marked.withColumn("trading", trading_day(F.col("date")) & F.col("_off").isNull()).drop("_off")
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    day = F.when(F.col("trading"), F.col("date"))
+    at = lambda minutes: F.when(F.col("trading"), F.timestamp_add("MINUTE", F.lit(minutes), F.col("date").cast("timestamp_ntz")))
+    return marked.select(
+        "date", "trading",
+        F.min(day).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next_day"),
+        F.max(day).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("previous_day"),
+        at(9 * 60 + 15).alias("opens"), at(15 * 60 + 30).alias("closes"),
+    )
+
+
+def day_bounds(day: Column, zone: str) -> tuple[Column, Column]:
+    """First and last microsecond of a day in a zone, as UTC."""
+    begin = F.to_utc_timestamp(day.cast("timestamp_ntz"), zone)
+    return begin, F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp_ntz"), zone) - F.expr("interval 1 microsecond")
+
+
+def quality_report(bars: DataFrame, start: str, stop: str, minutes: int, spike: float) -> DataFrame:
+    """symbol, expected, observed, bars, first, last, gaps, missing_days, bad_ticks, has_issues of every symbol's bars
+    from start to stop, and a row of totals whose symbol is null.
+
+    expected counts the weekdays from start to stop, observed the days with a bar. A symbol without bars in the range
+    has no row: unread() finds it."""
+    window = bars.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz")))
+    days = F.sequence(F.lit(start).cast("timestamp_ntz").cast("date"), F.lit(stop).cast("timestamp_ntz").cast("date"))
+    expected = F.size(F.filter(days, trading_day)).cast("long")
+    parts = [
+        gaps(window, minutes).groupBy("symbol").agg(F.count("*").alias("gaps")),
+        missing_days(window).groupBy("symbol").agg(F.count("*").alias("missing_days")),
+        bad_ticks(window, spike).groupBy("symbol").agg(F.count("reason").alias("bad_ticks")),
+    ]
+    out = coverage(window).select("symbol", F.col("days").alias("observed"), "bars", "first", "last")
+    for p in parts:
+        out = out.join(p, "symbol", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("gaps", "missing_days", "bad_ticks")})
+    sums = [F.sum(c).alias(c) for c in ("observed", "bars", "gaps", "missing_days", "bad_ticks")]
+    total = out.agg(*sums, F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n")).where("n > 0")
+    total = total.withColumns({"symbol": F.lit(None).cast("string"), "expected": expected * F.col("n")}).drop("n")
+    issues = (F.col("gaps") > 0) | (F.col("missing_days") > 0) | (F.col("bad_ticks") > 0) | (F.col("observed") < F.col("expected"))
+    return out.withColumn("expected", expected).unionByName(total).withColumn("has_issues", issues)
+
+
+def unread(requested: DataFrame, bars: DataFrame) -> DataFrame:
+    """symbol of the requested ones (symbol) that no bar has: a backfill with any such has failed."""
+    return requested.select("symbol").distinct().join(bars.select("symbol").distinct(), "symbol", "left_anti")
+
+
+def action_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
+    """symbol, ex_date, factor, volume_factor of actions (symbol, ex_date, kind, ratio, amount) that have a bar before
+    their date.
+
+    A split or bonus divides prices by its ratio and multiplies volumes by it. A dividend scales prices by what it leaves
+    of the raw close of the last bar before its date; one that leaves nothing is an error, as is a ratio that isn't positive."""
+    close = bars.select("symbol", F.expr("timestampadd(DAY, 1, date_trunc('DAY', ts))").alias("ts"), F.struct("ts", "close").alias("_c"))
+    close = close.groupBy("symbol", "ts").agg(F.max("_c")["close"].alias("_close"))
+    met = as_of(actions.withColumn("ts", F.col("ex_date").cast("timestamp_ntz")), close, values=("_close",)).where("_close is not null")
+    dividend = F.col("kind") == "dividend"
+    bad = F.raise_error(F.concat(F.lit("action of "), F.col("symbol"), F.lit(" leaves no price"))).cast("double")
+    factor = F.when(dividend & (F.col("amount") < F.col("_close")), 1 - F.col("amount") / F.col("_close")).when(~dividend & (F.col("ratio") > 0), 1 / F.col("ratio")).otherwise(bad)
+    return met.select("symbol", "ex_date", factor.alias("factor"), F.when(dividend, 1.0).otherwise(F.col("ratio")).alias("volume_factor"))
+
+
+def adjusted_bars(bars: DataFrame, factors: DataFrame) -> DataFrame:
+    """bars with prices and volume scaled by the product of the factors of all later ex-dates; volumes round half to even."""
+    prices = back_adjusted(bars, factors.select("symbol", "ex_date", "factor")).withColumn("_p", F.try_divide("adj_close", "close"))
+    both = back_adjusted(prices.drop("adj_close"), factors.select("symbol", "ex_date", F.col("volume_factor").alias("factor"))).withColumn("_v", F.try_divide("adj_close", "close"))
+    scaled = {c: F.col(c) * F.col("_p") for c in ("open", "high", "low", "close")}
+    return both.withColumns(scaled | {"volume": F.bround(F.col("volume") * F.col("_v")).cast("long")}).drop("_p", "_v", "adj_close")
