@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import summed
+
 
 def standardised(df: DataFrame, features: list[str]) -> DataFrame:
     """Features less their mean over their population deviation (0 where that is 0)."""
@@ -16,16 +18,37 @@ def standardised(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str = "y", l2: float = 1.0, rate: float = 0.5, rounds: int = 30) -> list[float]:
-    """Intercept and weights by full-batch gradient descent; every round is one aggregate over the rows."""
-    beta = [0.0] * (len(features) + 1)
-    for _ in range(rounds):
-        p = probability(features, beta)
-        err = p - F.col(label)
-        g = df.agg(F.count("*").alias("n"), F.sum(err).alias("g0"), *(F.sum(err * F.col(f)).alias(f"g{i + 1}") for i, f in enumerate(features))).first()
-        if not g["n"]:
-            return beta
-        beta = [b - rate * (g[f"g{i}"] + (l2 * b if i else 0.0)) / g["n"] for i, b in enumerate(beta)]
-    return beta
+    """Intercept and weights by full-batch gradient descent; every round is one aggregate over the rows, which are kept
+    (and recomputed where an executor is lost) from the first round on."""
+    found = fit_logistic_by(df.withColumn("_g", F.lit(0)), features, "_g", label, l2, rate, rounds)
+    return found.get(0, [0.0] * (len(features) + 1))
+
+
+def fit_logistic_by(df: DataFrame, features: list[str], by: str, label: str = "y", l2: float = 1.0, rate: float = 0.5, rounds: int = 30) -> dict:
+    """fit_logistic() of every group of by (a fold, say; some dozens at most) at once: a round is one aggregate by group."""
+    kept = df.select(by, label, *features).persist()
+    try:
+        beta: dict = {}
+        for _ in range(rounds):
+            err = probability_by(features, by, beta) - F.col(label)
+            sums = kept.groupBy(by).agg(F.count("*").alias("n"), F.sum(err).alias("g0"), *(F.sum(err * F.col(f)).alias(f"g{i + 1}") for i, f in enumerate(features)))
+            after = {}
+            for g in sums.collect():  # a row for each group
+                own = beta.get(g[by], [0.0] * (len(features) + 1))
+                after[g[by]] = [b - rate * (g[f"g{i}"] + (l2 * b if i else 0.0)) / g["n"] for i, b in enumerate(own)]
+            beta = after
+        return beta
+    finally:
+        kept.unpersist()
+
+
+def probability_by(features: list[str], by: str, beta: dict) -> Column:
+    """Each row's probability by its group's coefficients; one half for a group without any."""
+    out = None
+    for g, b in sorted(beta.items()):
+        p = probability(features, b)
+        out = F.when(F.col(by) == g, p) if out is None else out.when(F.col(by) == g, p)
+    return F.lit(0.5) if out is None else out.otherwise(0.5)
 
 
 def probability(features: list[str], beta: list[float]) -> Column:
@@ -56,19 +79,18 @@ def calibrated(x: Column, knots: list[tuple[float, float]]) -> Column:
 
 def rank_against(scores: DataFrame, reference: DataFrame, x: str = "p") -> DataFrame:
     """Adds share: the part of reference values that are at most x. Both are sorted together by value counts."""
-    from pyspark.sql import Window
-
     per = reference.groupBy(x).agg(F.count("*").alias("n"))
     values = per.select(x, "n").unionByName(scores.select(x).distinct().withColumn("n", F.lit(0).cast("long"))).groupBy(x).agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return scores.join(values.select(x, (F.sum("n").over(w) / total).alias("share")), x)
+    total = reference.agg(F.count(x).alias("_all"))  # one row
+    ranked = summed(values, [x], "n", "_upto").join(F.broadcast(total))
+    return scores.join(ranked.select(x, F.try_divide("_upto", F.col("_all").cast("double")).alias("share")), x)
 
 
 def diagonal_mixture(df: DataFrame, x: list[str], k: int, rounds: int = 10) -> dict:
     """Gaussian mixture with diagonal covariances by EM; components are sorted by their first mean.
 
     Each round sums responsibilities, values and squares in one aggregate of k * (2 * len(x) + 1) numbers."""
+    df = df.select(*x).persist()
     stat = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)), F.percentile(x[0], F.array(*(F.lit((j + 0.5) / k) for j in range(k)))).alias("q")).first()
     mean = np.array([[stat["q"][j], *(stat[f"m{i}"] for i in range(1, len(x)))] for j in range(k)])
     var = np.array([[max(stat[f"v{i}"], 1e-6) for i in range(len(x))]] * k)
@@ -84,6 +106,7 @@ def diagonal_mixture(df: DataFrame, x: list[str], k: int, rounds: int = 10) -> d
         mean = np.array([[sums[f"s{j}_{i}"] for i in range(len(x))] for j in range(k)]) / total[:, None]
         var = np.maximum(np.array([[sums[f"q{j}_{i}"] for i in range(len(x))] for j in range(k)]) / total[:, None] - mean**2, 1e-6)
         weight = total / total.sum()
+    df.unpersist()
     by = np.argsort(mean[:, 0])
     return {"mean": mean[by], "var": var[by], "weight": weight[by]}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross, features, labels, models, research, simulations, streams, studies, tables, validation  # noqa: F401
+from . import cross, ensembles, features, labels, models, research, simulations, streams, studies, tables, validation  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -49,7 +49,23 @@ def hot_window(bars: DataFrame, most: int) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drains what a stream has, into a table in memory (for small results and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Drains what a stream has. Appended rows go to files beside the checkpoint and are read back; other modes, which
+    replace rows, to a table in memory (for small results and tests)."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode != "append":
+        writer.format("memory").queryName(name).start().awaitTermination()
+        return stream.sparkSession.table(name)
+    path = f"{checkpoint}-{name}"
+    writer.format("parquet").option("path", path).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def depth_sink(snapshots: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends depth snapshots (symbol, ts, bids, asks) to a parquet table by symbol and day; of a
+    batch's snapshots of one symbol and time one is written. Returns the query."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        one = batch.dropDuplicates(["symbol", "ts"]).withColumn("date", F.to_date("ts"))
+        one.write.mode("append").partitionBy("symbol", "date").parquet(path)
+
+    return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -236,3 +236,108 @@ def test_noise_has_its_deviation_and_importance_finds_the_score(spark, sf):
     assert len(noisy) == len(scores) and abs(z.mean()) < 4 / math.sqrt(len(z)) and 0.7 < z.std() < 1.3
     loss = {r["feature"]: r["loss"] for r in QUERIES["m07_permutation_importance"](spark, sf).collect()}
     assert loss.keys() == {"p", "q"} and all(math.isfinite(v) for v in loss.values())
+
+
+def descend(x, y, rounds, l2=1.0, rate=0.5):
+    a = np.hstack([np.ones((len(x), 1)), x])
+    beta = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        g = a.T @ (1 / (1 + np.exp(-a @ beta)) - y)
+        g[1:] += l2 * beta[1:]
+        beta = beta - rate * g / len(y)
+    return beta
+
+
+def folds_of(n, k, span, embargo):
+    out = []
+    for block in np.array_split(np.arange(n), k):
+        if len(block):
+            a, b, last = block[0], block[-1] + span, block[-1]
+            train = [i for i in range(n) if i + span < a or (i > b and i > last + math.floor(n * embargo))]
+            out.append((list(block), train))
+    return out
+
+
+@pytest.fixture(scope="module")
+def scored(spark, sf):
+    s = views.scores(spark, sf).orderBy("id").toPandas()
+    x = np.stack([s["p"], s["id"] % 7, s["p"] ** 2], 1).astype(float)
+    return (x - x.mean(0)) / x.std(0), s["y"].to_numpy(float)
+
+
+def test_out_of_fold_models_against_a_loop(spark, sf, scored):
+    x, y = scored
+    members = {"one": [0], "two": [1], "all": [0, 1, 2]}
+    want, both = {}, {}
+    for fold, (test, train) in enumerate(folds_of(len(y), 5, 3, 0.01)):
+        scores = {}
+        for name, columns in (members | {"pq": [0, 1]}).items():
+            beta = descend(x[np.ix_(train, columns)], y[train], 10)
+            scores[name] = 1 / (1 + np.exp(-(beta[0] + x[np.ix_(test, columns)] @ beta[1:])))
+        share = lambda v: np.array([((v < z).sum() + ((v == z).sum() + 1) / 2) / len(v) for z in v])
+        mean = sum(share(np.round(scores[m], 12)) for m in members) / 3
+        want |= {(i, fold): scores["pq"][j] for j, i in enumerate(test)}
+        both |= {(i, fold): mean[j] for j, i in enumerate(test)}
+    got = {(r["id"], r["fold"]): r["p"] for r in QUERIES["m06_out_of_fold"](spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+    got = {(r["id"], r["fold"]): r["p"] for r in QUERIES["m05_ensemble"](spark, sf).collect()}
+    assert got.keys() == both.keys() and np.mean([abs(got[k] - both[k]) < 0.02 for k in both]) > 0.98  # near ties may order otherwise
+
+
+def test_tuning_takes_the_least_loss(spark, sf, scored):
+    x, y = scored
+    x = x[:, :2]
+    want = {}
+    for l2 in (0.1, 10.0):
+        for rounds in (3, 6):
+            losses = []
+            for test, train in folds_of(len(y), 3, 3, 0.01):
+                beta = descend(x[train], y[train], rounds, l2)
+                p = 1 / (1 + np.exp(-(beta[0] + x[test] @ beta[1:])))
+                losses.append(-np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p)))
+            want[l2, rounds] = np.mean(losses)
+    got = QUERIES["m11_tuned"](spark, sf).collect()
+    assert {(r["l2"], r["rounds"]): r["log_loss"] for r in got} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert [(r["l2"], r["rounds"]) for r in got if r["best"]] == [min(want, key=want.get)]
+
+
+def test_logistic_and_isotonic_fits_against_numpy(spark, sf, scored):
+    x, y = scored
+    beta = descend(x[:, :1], y, 10)
+    got = [r["prob"] for r in QUERIES["m02b_logistic"](spark, sf).orderBy("id").collect()]
+    assert got == pytest.approx((1 / (1 + np.exp(-(beta[0] + x[:, 0] * beta[1])))).tolist(), abs=1e-6)
+    fit = {r["id"]: r["prob"] for r in QUERIES["m03_isotonic"](spark, sf).collect()}
+    s = views.scores(spark, sf).toPandas().groupby("p").agg(y=("y", "mean"), n=("y", "size"), id=("id", "first")).reset_index()
+    blocks = []
+    for v, n in zip(s["y"], s["n"], strict=True):
+        blocks.append([v, n, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            b, a = blocks.pop(), blocks[-1]
+            blocks[-1] = [(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]]
+    flat = [v for v, _, k in blocks for _ in range(k)]
+    assert [fit[i] for i in s["id"]] == pytest.approx(flat, abs=1e-9)
+
+
+def test_gates_of_regimes(spark):
+    from plumbline.operators import ensemble
+
+    df = spark.createDataFrame([(0.7, 0.3), (0.5, 0.5), (0.2, 0.8), (None, None)], "a double, b double")
+    got = [r[0] for r in df.select(ensemble.regime_gate([F.col("a"), F.col("b")], [2.0, 0.0], 0.6)).collect()]
+    assert got == [2.0, 1.0, 0.0, 1.0]
+    rng = np.random.default_rng(0)
+    rows = [(float(rng.normal(m, 1)), g) for m, g in ((-10, 1.0), (10, -1.0)) for _ in range(80)]
+    fit, gates = ensemble.fitted_gate(spark.createDataFrame(rows, "x double, g double"), ["x"], "g", 2)
+    assert gates == [1.0, 0.0] and fit["mean"][0, 0] < 0 < fit["mean"][1, 0]
+
+
+def test_depth_sink_writes_each_snapshot_once(spark, tmp_path):
+    from plumbline.streaming.bars import depth_sink
+
+    src = str(tmp_path / "in")
+    rows = [("a", dt.datetime(2024, 1, 1, 10, i % 3), [(1.0, 2)]) for i in range(6)] + [("b", dt.datetime(2024, 1, 2, 10), [])]
+    spark.createDataFrame(rows, "symbol string, ts timestamp, bids array<struct<price:double,quantity:long>>").write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    for _ in range(2):
+        depth_sink(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 4 and out.where("symbol = 'a' and date = '2024-01-01'").count() == 3
