@@ -1,23 +1,33 @@
-"""Benchmark decontamination: an index of the items' shingles, and exact weighted similarity of every item-sized window."""
+"""Benchmark decontamination: SimHash fingerprints of item-sized windows, Hamming blocks, exact weighted similarity.
 
-from __future__ import annotations
+A window of a shingles and an item of b >= a that share s of them (as multisets) are similar if s >= 4/9 (a + b), so
+a + b - 2s <= 2b/9 shingles aren't shared. A fingerprint's bit is the sign of a sum of ones and minus ones, one for each
+shingle, and unshared shingles move that sum by 2b/9 at most. So the item's firm bits, whose sum is further from zero
+than that, are the same in every similar window, and the number of its other bits, the loose ones, is a radius that
+no similar window leaves. An index over blocks of bits finds all windows that differ from an item in loose bits only.
+"""
 
-from collections import Counter
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free, table
 from .textbytes import ALNUM_LOWER, LOWER, Hashes, counts, mix, pieces
 
 WORDS = 5
 #: Windows of a and b shingles that share s are similar (s / (a + b - s) is 0.8 or more) if SHARE[0] * s >= SHARE[1] * (a + b).
 SHARE = 9, 4
-#: Bytes of benchmark text in one index; a larger benchmark is taken in blocks of that size.
-INDEX_BYTES = 32 << 20
+#: Bits of a fingerprint's block.
+BLOCK = 8
+#: Bytes of benchmark text in one index; a larger benchmark is taken in parts of that size, of which a worker holds one.
+INDEX_BYTES = 4 << 20
+#: Windows that are fingerprinted at once.
+WINDOWS = 512
 _HASH_BITS = 20
 _FOUND = T.StructType([T.StructField("items", T.ArrayType(T.LongType())), T.StructField("similarity", T.DoubleType()), T.StructField("windows", T.LongType())])
 
@@ -47,27 +57,51 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """Items by their distinct shingles, and how often each stands in an item."""
+    """Items by their distinct shingles and how often each stands in an item, and by their fingerprints' blocks."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         words = [np.zeros(0, np.uint64)] * len(ids)
         for p in pieces(pa.array(texts, pa.string())):
             h, row = word_hashes(p)
+            bounds = np.searchsorted(row, np.arange(p.rows + 1))
             for r in range(p.rows):
-                words[p.start + r] = h[row == r]
+                words[p.start + r] = h[bounds[r] : bounds[r + 1]].copy()
         keep = [i for i, w in enumerate(words) if len(w)]
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.length = np.array([len(words[i]) for i in keep], np.int64)
-        held = [Counter(shingle_hashes(words[i], min(WORDS, len(words[i]))).tolist()) for i in keep]
-        flat = np.array([h for c in held for h in c], np.uint64)
+        cut = [shingle_hashes(words[i], min(WORDS, len(words[i]))) for i in keep]
+        held = [np.unique(c, return_counts=True) for c in cut]
+        flat = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
+        times = np.concatenate([np.zeros(0, np.int64), *(t for _, t in held)])
         order = np.argsort(flat, kind="stable")
         self.key, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
-        self.item = np.repeat(np.arange(len(keep)), [len(c) for c in held])[order]
-        times = [n for c in held for n in c.values()]
-        self.times = [times[i] for i in order.tolist()]
+        self.item = np.repeat(np.arange(len(keep)), [len(k) for k, _ in held])[order]
+        self.times = times[order]
         self.seen = np.zeros(1 << _HASH_BITS, bool)
         self.seen[(self.key & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)] = True
         self.short = sorted({int(n) for n in self.length if n < WORDS})
+        #: items of one length make a group: the length, the items, and blocks[k, v], a bitset of those that a
+        #: window whose k-th block is v may be similar to
+        self.sizes, self.group = np.unique(self.length, return_inverse=True)
+        self.members = [np.flatnonzero(self.group == g) for g in range(len(self.sizes))]
+        self.blocks = [self._blocks([cut[i] for i in m]) for m in self.members]
+
+    @staticmethod
+    def _blocks(cut: list[np.ndarray]) -> np.ndarray:
+        sums = np.array([2 * bits(h).sum(0, dtype=np.int64) - len(h) for h in cut])
+        b = np.array([[len(h)] for h in cut])
+        firm = np.packbits(9 * np.abs(sums) > 2 * b, axis=1, bitorder="little")
+        value = np.packbits(sums > 0, axis=1, bitorder="little")
+        differ = (np.arange(1 << BLOCK, dtype=np.uint8)[None, :, None] ^ value.T[:, None]) & firm.T[:, None]
+        return np.packbits(differ == 0, axis=2)
+
+    def near(self, g: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of group g whose fingerprints (windows x blocks) differ in loose bits of the item only."""
+        found = self.blocks[g][0, prints[:, 0]]
+        for k in range(1, prints.shape[1]):
+            found = found & self.blocks[g][k, prints[:, k]]
+        w, i = np.nonzero(np.unpackbits(found, axis=1, count=len(self.members[g])))
+        return w, self.members[g][i]
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of h that are a shingle of some item, and its number."""
@@ -76,26 +110,25 @@ class Index:
         same = self.key[k] == h[at] if len(self.key) else np.zeros(0, bool)
         return at[same], k[same]
 
-    def _slide(self, at: list[int], post: list[int], ranges, own: int, wide: int) -> tuple[float, int]:
-        """Best similarity and number of the similar windows (wide shingles from a start in ranges) to one item (own
-        shingles) that has its shingle post[i] at place at[i]. Counts roll along, so the work is linear in the hits."""
+    def _slide(self, at: list[int], post: list[int], times: list[int], starts: list[int], own: int, wide: int) -> tuple[float, int]:
+        """Best similarity and number of the similar windows (wide shingles from each of starts, which ascend) to one
+        item (own shingles) that has its shingle post[i], times[i] times, at place at[i]. Counts roll along, so the
+        work is linear in the hits."""
         held: dict[int, int] = {}
-        best, many, shared, left, right, done = 0.0, 0, 0, 0, 0, -1
-        for lo, hi in ranges:
-            for s in range(max(lo, done), hi + 1):
-                while right < len(at) and at[right] < s + wide:
-                    k = post[right]
-                    held[k] = held.get(k, 0) + 1
-                    shared += held[k] <= self.times[k]
-                    right += 1
-                while left < right and at[left] < s:
-                    k = post[left]
-                    shared -= held[k] <= self.times[k]
-                    held[k] -= 1
-                    left += 1
-                if SHARE[0] * shared >= SHARE[1] * (own + wide):
-                    best, many = max(best, shared / (own + wide - shared)), many + 1
-            done = max(done, hi + 1)
+        best, many, shared, left, right = 0.0, 0, 0, 0, 0
+        for s in starts:
+            while right < len(at) and at[right] < s + wide:
+                k = post[right]
+                held[k] = held.get(k, 0) + 1
+                shared += held[k] <= times[right]
+                right += 1
+            while left < right and at[left] < s:
+                k = post[left]
+                shared -= held[k] <= times[left]
+                held[k] -= 1
+                left += 1
+            if SHARE[0] * shared >= SHARE[1] * (own + wide):
+                best, many = max(best, shared / (own + wide - shared)), many + 1
         return best, many
 
     def scan(self, p) -> dict[int, tuple[set[int], float, int]]:
@@ -116,42 +149,106 @@ class Index:
             post, which = spread(self.first[k], self.many[k])
             fits = np.minimum(self.length[self.item[post]], WORDS) == n
             post, at = post[fits], at[which][fits]
-            order = np.lexsort((at, self.item[post], row[at]))
-            post, at = post[order], at[order]
-            item, r = self.item[post], row[at]
-            pair = np.cumsum((np.diff(item, prepend=-1) != 0) | (np.diff(r, prepend=-1) != 0)) - 1
-            own, size = self.length[item] - n + 1, np.minimum(self.length[item], total[r])
+            if not len(at):
+                continue
+            r, group, start, size = self._windows(at, row[at], self.group[self.item[post]], n, begin, total)
             wide = size - n + 1
-            need = -(-SHARE[1] * (own + wide) // SHARE[0])
-            # hits i to i + need - 1 of a row and an item must lie in a window
-            i = np.arange(len(at))
-            last = i + need - 1
-            i = i[last < len(at)]
-            i = i[(pair[last[i]] == pair[i]) & (at[last[i]] - at[i] < wide[i])]
-            if not len(i):
+            found = []
+            for lo in range(0, len(start), WINDOWS):
+                part = slice(lo, lo + WINDOWS)
+                prints = fingerprints(h, start[part], wide[part])
+                for g in np.unique(group[part]).tolist():
+                    mine = lo + np.flatnonzero(group[part] == g)
+                    w, item = self.near(g, prints[mine - lo])
+                    found.append((mine[w], item))
+            if not found:
                 continue
-            lo, hi = np.maximum(at[last[i]] - wide[i] + 1, begin[r[i]]), np.minimum(at[i], (begin + total)[r[i]] - size[i])
-            bounds = np.searchsorted(pair, np.arange(pair[-1] + 2))
-            new = np.flatnonzero(np.diff(pair[i], prepend=-1)).tolist()
-            for a, b in zip(new, [*new[1:], len(i)], strict=True):
-                x = i[a]
-                hits = slice(bounds[pair[x]], bounds[pair[x] + 1])
-                best, many = self._slide(at[hits].tolist(), post[hits].tolist(), zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True), int(own[x]), int(wide[x]))
-                if many:
-                    items, most, windows = out.get(int(r[x]), (set(), 0.0, 0))
-                    out[int(r[x])] = (items | {int(self.ids[item[x]])}, max(most, best), windows + many)
+            w, item = (np.concatenate(x) for x in zip(*found, strict=True))
+            self._verify(out, r[w], item, start[w], wide[w], n, at, post, row)
         return out
 
+    def _windows(self, at, r, group, n, begin, total) -> tuple[np.ndarray, ...]:
+        """Rows, groups, starts (ascending) and words of the windows that may be similar to an item of a group: those of its
+        size (the whole text if that is shorter) that hold as many places of its shingles (at) as similarity needs."""
+        order = np.lexsort((at, r, group))
+        at, r, group = at[order], r[order], group[order]
+        new = np.concatenate(([True], (at[1:] != at[:-1]) | (r[1:] != r[:-1]) | (group[1:] != group[:-1])))
+        at, r, group = at[new], r[new], group[new]
+        size = np.minimum(self.sizes[group], total[r])
+        wide = size - n + 1
+        need = -(-SHARE[1] * (self.sizes[group] - n + 1 + wide) // SHARE[0])
+        i = np.arange(len(at))
+        last = i + need - 1
+        i = i[last < len(at)]
+        last = last[i]
+        i, last = (x[(r[last] == r[i]) & (group[last] == group[i]) & (at[last] - at[i] < wide[i])] for x in (i, last))
+        lo, hi = np.maximum(at[last] - wide[i] + 1, begin[r[i]]), np.minimum(at[i], (begin + total)[r[i]] - size[i])
+        start, which = spread(lo, np.maximum(hi - lo + 1, 0))
+        i = i[which]
+        order = np.lexsort((group[i], start))
+        start, i = start[order], i[order]
+        new = np.concatenate(([True], (start[1:] != start[:-1]) | (group[i[1:]] != group[i[:-1]]))) if len(i) else np.zeros(0, bool)
+        start, i = start[new], i[new]
+        return r[i], group[i], start, size[i]
+
+    def _verify(self, out, r, item, start, wide, n, at, post, row) -> None:
+        """Adds to out the candidates (row, item, start, wide) that are similar; at and post are the hits."""
+        hit = np.lexsort((at, self.item[post], row[at]))
+        at, post = at[hit], post[hit]
+        pair = row[at] * len(self.length) + self.item[post]
+        order = np.lexsort((start, item, r))
+        r, item, start, wide = r[order], item[order], start[order], wide[order]
+        mine = r * len(self.length) + item
+        new = np.flatnonzero(np.diff(mine, prepend=-1)).tolist()
+        for a, b in zip(new, [*new[1:], len(mine)], strict=True):
+            lo, hi = np.searchsorted(pair, [mine[a], mine[a] + 1])
+            if lo == hi:
+                continue
+            x, i = int(r[a]), int(item[a])
+            best, many = self._slide(at[lo:hi].tolist(), post[lo:hi].tolist(), self.times[post[lo:hi]].tolist(), start[a:b].tolist(), int(self.length[i]) - n + 1, int(wide[a]))
+            if many:
+                items, most, windows = out.get(x, (set(), 0.0, 0))
+                out[x] = (items | {int(self.ids[i])}, max(most, best), windows + many)
+
+
+def bits(h: np.ndarray) -> np.ndarray:
+    """The 64 bits of each hash."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def fingerprints(h: np.ndarray, start: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Blocks of the SimHash fingerprints of windows: a bit is set if it is in over half of the wide hashes from start."""
+    held = np.zeros(int((start + wide).max() - start.min()) + 1, np.int64)
+    np.add.at(held, start - start.min(), 1)
+    np.add.at(held, start + wide - start.min(), -1)
+    held = np.cumsum(held)[:-1] > 0
+    rank = np.concatenate(([0], np.cumsum(held)))
+    at = np.flatnonzero(held) + start.min()
+    sums = np.zeros((len(at) + 1, 64), np.int32)
+    np.cumsum(bits(h[at]), axis=0, dtype=np.int32, out=sums[1:])
+    first = start - start.min()
+    many = sums[rank[first + wide]] - sums[rank[first]]
+    return np.packbits(2 * many > wide[:, None], axis=1, bitorder="little")
+
+
+def _searched(parts: list[Broadcast]):
+    """A UDF over the parts of an index; a worker holds one of them at a time, and keeps it if there is no other."""
 
-def _searched(index: Index):
     @F.arrow_udf(_FOUND)
     def run(texts: pa.Array) -> pa.Array:
-        items: list[list[int]] = [[] for _ in range(len(texts))]
+        items: list[set[int]] = [set() for _ in range(len(texts))]
         best, many = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for p in pieces(texts):
-            for r, (found, similarity, n) in index.scan(p).items():
-                items[p.start + r], best[p.start + r], many[p.start + r] = sorted(found), similarity, n
-        return pa.StructArray.from_arrays([pa.array(items, pa.list_(pa.int64())), pa.array(best), pa.array(many)], ["items", "similarity", "windows"])
+        for part in parts:
+            index = part.value
+            for p in pieces(texts):
+                for r, (found, similarity, n) in index.scan(p).items():
+                    r += p.start
+                    items[r] |= found
+                    best[r], many[r] = max(best[r], similarity), many[r] + n
+            if len(parts) > 1:
+                index = part._value = None
+                del part._value
+        return pa.StructArray.from_arrays([pa.array(map(sorted, items), pa.list_(pa.int64())), pa.array(best), pa.array(many)], ["items", "similarity", "windows"])
 
     return run
 
@@ -162,33 +259,31 @@ def matches(benchmark: DataFrame, text: str | Column) -> Column:
     benchmark: item_id, text. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the lower-cased text. A window of as
     many words as an item has (the whole text if that is shorter) matches if the multisets of its and the item's
     5-word shingles have a weighted Jaccard similarity of 0.8 or more; an item of fewer words matches only itself.
-    Every window that holds enough of an item's shingles is compared, whatever their order. Null or blank items
-    match nothing, null or blank texts contain nothing. The index is sent to tasks in blocks of INDEX_BYTES at most.
+    No match is lost (see the module's head), whatever the order of the shingles. Null or blank items and items
+    without an id match nothing, null or blank texts contain nothing; rows that repeat an id are items of their own,
+    reported once. The index goes to tasks in parts of INDEX_BYTES of text at most.
     """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    blocks = -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // INDEX_BYTES)
-    found = []
-    for k in range(blocks):
-        rows = slim.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found.append(_searched(Index([x.item_id for x in rows], [x.text for x in rows]))(text))
-    if len(found) == 1:
-        return found[0]
-    return F.struct(
-        F.array_sort(F.flatten(F.array(*(f["items"] for f in found)))).alias("items"),
-        F.greatest(*(f["similarity"] for f in found)).alias("similarity"),
-        sum((f["windows"] for f in found), F.lit(0)).alias("windows"),
-    )
+    parts = -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // INDEX_BYTES)
+    held = []
+    for k in range(parts):
+        rows = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+        held.append(benchmark.sparkSession.sparkContext.broadcast(Index([x.item_id for x in rows], [x.text for x in rows])))
+    return _searched(held)(text)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, items, similarity, windows for every row of docs (doc_id, text); other columns are ignored."""
+    """doc_id, items, similarity, windows (see matches()) for every row of docs (doc_id, text); repeated rows give a row
+    each, an empty table gives an empty one, other columns are ignored."""
     return docs.select("doc_id", matches(benchmark, "text").alias("m")).select("doc_id", "m.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item of the benchmark."""
-    return docs.withColumn("_m", matches(benchmark, "text")).where(F.size("_m.items") == 0).select(*docs.columns)
+    """The rows of docs whose text matches no item of the benchmark, with all columns, whatever their names; null and
+    empty texts stay, repeated rows stay or go together, an empty table or benchmark takes nothing away."""
+    m = free(docs, "m")
+    return docs.withColumn(m, matches(benchmark, "text")).where(F.size(F.col(m)["items"]) == 0).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
