@@ -174,3 +174,15 @@ def adjusted_bars(bars: DataFrame, factors: DataFrame) -> DataFrame:
     both = back_adjusted(prices.drop("adj_close"), factors.select("symbol", "ex_date", F.col("volume_factor").alias("factor"))).withColumn("_v", F.try_divide("adj_close", "close"))
     scaled = {c: F.col(c) * F.col("_p") for c in ("open", "high", "low", "close")}
     return both.withColumns(scaled | {"volume": F.bround(F.col("volume") * F.col("_v")).cast("long")}).drop("_p", "_v", "adj_close")
+
+
+def action_list(raw: DataFrame, words: dict[str, str], pattern: str = "dd-MMM-yyyy") -> DataFrame:
+    """symbol, ex_date, kind, quarter of raw (symbol, subject, ex): the kind is the first whose word the subject holds, in
+    any case; rows of no kind or without a date are dropped, repeats too. quarter is the window that a fetch would ask."""
+    subject = F.lower("subject")
+    kind = None
+    for k, word in words.items():
+        kind = F.when(subject.contains(word), k) if kind is None else kind.when(subject.contains(word), k)
+    day = F.try_to_date("ex", pattern)
+    rows = raw.select("symbol", day.alias("ex_date"), kind.alias("kind")).where("ex_date is not null and kind is not null").distinct()
+    return rows.withColumn("quarter", F.to_date(F.date_trunc("quarter", "ex_date")))

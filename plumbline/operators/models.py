@@ -141,3 +141,22 @@ def boosted_trees(df: DataFrame, features: list[str], label: str = "y", rounds:
     ready = VectorAssembler(inputCols=features, outputCol="_f").transform(df)
     out = GBTClassifier(labelCol=label, featuresCol="_f", maxIter=rounds, maxDepth=3, seed=seed).fit(ready).transform(ready)
     return out.withColumn("p", vector_to_array("probability")[1]).drop("_f", "rawPrediction", "probability", "prediction")
+
+
+def selection_score(clustered: DataFrame, vector: str = "embedding", key: str = "id", thesis: list[float] | None = None) -> DataFrame:
+    """key, score: minus the distance to the centroid of the cluster whose centroid lies furthest along the thesis (equal
+    weights if none is given; ties to the first cluster). clustered: key, vector, prediction. With fewer than two clusters
+    the score is the row's own projection. Centroids are the only thing that is shared: one row for each cluster."""
+    long = clustered.select("prediction", F.posexplode(vector).alias("at", "x"))
+    centre = long.groupBy("prediction", "at").agg(F.avg("x").alias("c")).groupBy("prediction").agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("s"))
+    centre = centre.select("prediction", F.transform("s", lambda v: v["c"]).alias("c"))
+    along = F.lit(None).cast("array<double>") if thesis is None else F.array(*(F.lit(float(v)) for v in thesis))
+
+    def projection(c: Column) -> Column:
+        weights = F.coalesce(along, F.transform(c, lambda v: F.lit(1.0) / F.size(c)))
+        return F.aggregate(F.zip_with(c, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    best = centre.withColumn("p", projection(F.col("c"))).agg(F.max_by("c", F.struct("p", -F.col("prediction"))).alias("_c"), F.count("*").alias("_k"))
+    row = F.col(vector).cast("array<double>")
+    far = F.sqrt(F.aggregate(F.zip_with(row, F.col("_c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    return clustered.join(F.broadcast(best)).select(key, F.when(F.col("_k") < 2, projection(row)).otherwise(-far).alias("score"))

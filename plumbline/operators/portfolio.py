@@ -101,3 +101,20 @@ def hierarchical_book(covariances: DataFrame) -> DataFrame:
         return pd.DataFrame({"date": pdf["date"].iloc[0] if len(pdf) else None, "symbol": list(m.index), "weight": w})
 
     return covariances.groupBy("date").applyInPandas(run, "date date, symbol string, weight double")
+
+
+def scaled_by_book(book: DataFrame, returns: DataFrame, n: int, target: float, cash: str, per_year: float = 252.0) -> DataFrame:
+    """date, symbol, weight of book (date, symbol, weight), scaled down to target where the book's own yearly volatility
+    over the n dates to and with its date is above it; cash has the rest. returns: date, symbol, ret, on a full grid.
+
+    Each weight meets its name's last n returns by position: an equi-join of weights times n rows."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    placed = returns.withColumn("_at", F.row_number().over(w))
+    ends = book.join(placed.select("date", "symbol", "_at"), ["date", "symbol"])
+    spread = ends.select("date", "symbol", "weight", F.explode(F.sequence(F.col("_at") - (n - 1), F.col("_at"))).alias("_at"))
+    met = spread.join(placed.select("symbol", "_at", F.col("date").alias("_day"), "ret"), ["symbol", "_at"])
+    days = met.groupBy("date", "_day").agg(F.sum(F.col("weight") * F.col("ret")).alias("r"))
+    vol = days.groupBy("date").agg((F.stddev_samp("r") * per_year**0.5).alias("_vol"))
+    scaled = book.join(vol, "date", "left").withColumn("weight", F.col("weight") * F.when(F.col("_vol") > 0, F.least(F.lit(1.0), target / F.col("_vol"))).otherwise(1.0)).select("date", "symbol", "weight")
+    rest = scaled.groupBy("date").agg((1 - F.sum("weight")).alias("weight")).select("date", F.lit(cash).alias("symbol"), "weight")
+    return scaled.unionByName(rest)

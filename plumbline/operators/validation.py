@@ -214,3 +214,12 @@ def gate(stats: DataFrame, tests: dict[str, Column]) -> DataFrame:
     marked = stats.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tests.items()})
     failed = F.array_compact(F.array(*(F.when(~F.col(k), F.lit(k)) for k in tests)))
     return marked.withColumn("failed", F.array_join(failed, ",")).withColumn("passes", F.size(failed) == 0)
+
+
+def deduplicated(paths: DataFrame, x: str) -> DataFrame:
+    """n, paths, t, negative of path results (path, x) end to end: the t statistic over the root of the number of paths, as
+    every path holds the same events; 0 for fewer than two or flat results."""
+    g = paths.agg(F.count(x).alias("n"), F.count_distinct("path").alias("paths"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"), F.avg((F.col(x) < 0).cast("int")).alias("negative"))
+    one = F.col("_m") / F.col("_s") * F.sqrt("n") / F.sqrt(F.greatest("paths", F.lit(1)))
+    # end to end, the deviation is that of n rows of which n / paths differ
+    return g.select("n", "paths", F.when((F.col("n") > 1) & (F.col("_s") > 0), one).otherwise(0.0).alias("t"), "negative")

@@ -156,3 +156,12 @@ def verify_chain(entries: DataFrame) -> DataFrame:
     linked = F.coalesce(F.lag("entry_hash").over(w), F.lit("")) == F.col("prev_hash")
     step = F.col("seq") - F.coalesce(F.lag("seq").over(w), F.col("seq") - 1) == 1
     return entries.withColumn("ok", (expected == F.col("entry_hash")) & linked & step)
+
+
+def assembled(shards: DataFrame, identifier: str, order: tuple[str, ...]) -> DataFrame:
+    """date, symbol, close of united shards (identifier, symbol, ts, close): an identifier's rows go under the name that it
+    has in its latest row by order, and of a name's rows of a day the last by order stays."""
+    at = F.struct(*order)
+    latest = shards.groupBy(identifier).agg(F.max_by("symbol", at).alias("_name"))
+    named = shards.join(latest, identifier)
+    return named.groupBy(F.to_date("ts").alias("date"), F.col("_name").alias("symbol")).agg(F.max_by("close", at).alias("close"))

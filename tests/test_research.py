@@ -341,3 +341,18 @@ def test_depth_sink_writes_each_snapshot_once(spark, tmp_path):
         depth_sink(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 4 and out.where("symbol = 'a' and date = '2024-01-01'").count() == 3
+
+
+def test_selection_score_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), int(i % 3)) for i in range(60)]
+    from plumbline.operators import models
+
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, prediction int")
+    got = {r["id"]: r["score"] for r in models.selection_score(df).collect()}
+    x, k = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    centres = [x[k == j].mean(0) for j in range(3)]
+    best = max(centres, key=lambda c: c.mean())
+    assert got == {i: pytest.approx(-np.linalg.norm(x[i] - best)) for i in range(60)}
+    one = models.selection_score(df.withColumn("prediction", F.lit(0)), thesis=[1, 0, 0, 0, 0, 0])
+    assert {r["id"]: r["score"] for r in one.collect()} == {i: pytest.approx(x[i, 0]) for i in range(60)}
