@@ -120,3 +120,51 @@ def split_adjusted(panel: DataFrame, events: DataFrame, most: float = 0.98) -> D
     later = dated().rowsBetween(1, Window.unboundedFollowing)
     scale = F.coalesce(F.product("_f").over(later), F.lit(1.0))
     return marked.withColumns({"adj_close": F.col("close") * scale, "adj_volume": ratio("volume", scale)}).drop("_event", "_f")
+
+
+#: Names of a block of a correlation matrix, and dates whose products one task adds up.
+NAMES, DAYS = 512, 64
+
+
+def correlations(returns: DataFrame) -> DataFrame:
+    """a, b, n, corr of every two names (a before b) that share two dates or more, over the dates that both have.
+    returns: date, symbol, ret.
+
+    Names are dealt into blocks of about NAMES; a task takes two blocks over DAYS dates as two matrices and adds up their
+    products, so that what is shuffled is rows times blocks and sums of pairs, not pairs times dates."""
+    import numpy as np
+    import pandas as pd
+
+    held = returns.where("ret is not null").select("date", "symbol", F.col("ret").cast("double").alias("ret"))
+    blocks = -(-(held.select("symbol").distinct().count() or 1) // NAMES)
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    dealt = held.withColumns({"own": own, "part": F.floor(F.unix_date("date") / DAYS)}).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"i": F.least("own", "other").cast("int"), "j": F.greatest("own", "other").cast("int")})
+
+    def sums(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        days = {d: k for k, d in enumerate(sorted(p["date"].unique()))}
+        sides = []
+        for block in (key[1], key[2]):
+            q = p[p["own"] == block]
+            names = np.array(sorted(q["symbol"].unique()), object)
+            x, m = np.zeros((len(days), len(names))), np.zeros((len(days), len(names)))
+            at = q["date"].map(days).to_numpy(), np.searchsorted(names, q["symbol"].to_numpy(object))
+            x[at], m[at] = q["ret"].to_numpy(), 1.0
+            sides.append((names, x, m))
+        (na, xa, ma), (nb, xb, mb) = sides
+        n = ma.T @ mb
+        a, b = np.nonzero((n > 0) & (na[:, None] != nb[None]))
+        if key[1] == key[2]:
+            a, b = a[na[a] < nb[b]], b[na[a] < nb[b]]
+        stats = [n, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb]
+        return pd.DataFrame({"a": na[a], "b": nb[b]} | {c: s[a, b] for c, s in zip(("n", "sa", "sb", "saa", "sbb", "sab"), stats, strict=True)})
+
+    found = dealt.groupBy("part", "i", "j").applyInPandas(sums, "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double")
+    # names of different blocks come in the blocks' order: put them in their own
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    put = found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), "n", pick("sa", "sb").alias("sa"), pick("sb", "sa").alias("sb"), pick("saa", "sbb").alias("saa"), pick("sbb", "saa").alias("sbb"), "sab")
+    g = put.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
+    va, vb = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa"), F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
+    corr = F.try_divide(F.col("n") * F.col("sab") - F.col("sa") * F.col("sb"), F.sqrt(F.when((va > 0) & (vb > 0), va * vb)))
+    return g.where("n > 1").select("a", "b", F.col("n").cast("long").alias("n"), corr.alias("corr"))

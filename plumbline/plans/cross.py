@@ -246,9 +246,7 @@ def position_overlap(spark, d):
     FROM r a JOIN r b ON a.date = b.date AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL HAVING count(*) > 30 AND corr(a.ret, b.ret) > 0""",
 )
 def correlated_pairs(spark, d):
-    r = views.panel(spark, d).withColumn("ret", C.daily_return()).where("ret is not null").select("date", "symbol", "ret")
-    a, b = r.select("date", F.col("symbol").alias("a"), F.col("ret").alias("x")), r.select("date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    pairs = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    pairs = C.correlations(views.panel(spark, d).withColumn("ret", C.daily_return()))
     return pairs.where("n > 30 and corr > 0").withColumn("corr", F.round("corr", 6))
 
 

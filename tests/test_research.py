@@ -356,3 +356,22 @@ def test_selection_score_against_a_loop(spark):
     assert got == {i: pytest.approx(-np.linalg.norm(x[i] - best)) for i in range(60)}
     one = models.selection_score(df.withColumn("prediction", F.lit(0)), thesis=[1, 0, 0, 0, 0, 0])
     assert {r["id"]: r["score"] for r in one.collect()} == {i: pytest.approx(x[i, 0]) for i in range(60)}
+
+
+def test_correlations_in_blocks_of_names(spark, monkeypatch):
+    from plumbline.operators import cross_section
+
+    monkeypatch.setattr(cross_section, "NAMES", 4)
+    monkeypatch.setattr(cross_section, "DAYS", 7)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 11))
+    x[rng.random((30, 11)) < 0.3] = np.nan
+    rows = [(DAY + dt.timedelta(days=i), f"n{j}", None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(30) for j in range(11)]
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in cross_section.correlations(spark.createDataFrame(rows, "date date, symbol string, ret double")).collect()}
+    want = {}
+    for i in range(11):
+        for j in range(11):
+            if f"n{i}" < f"n{j}":
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                want[f"n{i}", f"n{j}"] = (both.sum(), pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1]))
+    assert got == want
