@@ -186,3 +186,9 @@ def action_list(raw: DataFrame, words: dict[str, str], pattern: str = "dd-MMM-yy
     day = F.try_to_date("ex", pattern)
     rows = raw.select("symbol", day.alias("ex_date"), kind.alias("kind")).where("ex_date is not null and kind is not null").distinct()
     return rows.withColumn("quarter", F.to_date(F.date_trunc("quarter", "ex_date")))
+
+
+def memberships(raw: DataFrame) -> DataFrame:
+    """symbol, start, end of records of text (symbol, start, end: ISO days); an empty or missing end is open, a record
+    without a start is dropped."""
+    return raw.select("symbol", F.to_date(F.nullif("start", F.lit(""))).alias("start"), F.to_date(F.nullif("end", F.lit(""))).alias("end")).where("start is not null")

@@ -210,10 +210,9 @@ def sensitivity(variants: DataFrame, base: str, x: str = "score") -> DataFrame:
 
 
 def gate(stats: DataFrame, tests: dict[str, Column]) -> DataFrame:
-    """Adds a column for each test, whether it holds (a missing value fails), the names of those that fail, and passes."""
-    marked = stats.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tests.items()})
-    failed = F.array_compact(F.array(*(F.when(~F.col(k), F.lit(k)) for k in tests)))
-    return marked.withColumn("failed", F.array_join(failed, ",")).withColumn("passes", F.size(failed) == 0)
+    """Adds failed, the names of the tests that don't hold (a missing value fails), comma-joined, and passes."""
+    failed = F.array_compact(F.array(*(F.when(F.coalesce(v, F.lit(False)), None).otherwise(k) for k, v in tests.items())))
+    return stats.withColumn("failed", F.array_join(failed, ",")).withColumn("passes", F.col("failed") == "")
 
 
 def deduplicated(paths: DataFrame, x: str) -> DataFrame:

@@ -111,3 +111,10 @@ def random_walk_bars(spark: SparkSession, symbols: list[str], days: list[str], m
     return walk.select(
         "symbol", ts.alias("ts"), "open", (F.greatest("open", "close") * wide).alias("high"), (F.least("open", "close") / wide).alias("low"), "close", (100 + F.floor(F.col("u") * 900)).cast("long").alias("volume"),
     )
+
+
+def chart_closes(raw: DataFrame, value: str = "value") -> DataFrame:
+    """symbol, ts, close of charts as JSON: a symbol with arrays of times and closes; null closes are no rows."""
+    chart = raw.select(F.from_json(value, "symbol string, timestamp array<bigint>, close array<double>").alias("c"))
+    points = chart.select("c.symbol", F.explode(F.arrays_zip(F.col("c.timestamp").alias("ts"), F.col("c.close").alias("close"))).alias("p"))
+    return points.select("symbol", F.col("p.ts").alias("ts"), F.col("p.close").alias("close")).where("close is not null")
