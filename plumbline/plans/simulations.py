@@ -58,7 +58,7 @@ def equal_weight(spark, d):
 
 ROTATION = f"""{GRID}, x AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret, price / lag(price, 20) OVER (PARTITION BY symbol ORDER BY date) - 1 AS score FROM g),
     y AS (SELECT *, {gated('stddev_samp(ret)', 'ret', 20, order='date')} * sqrt(252) AS vol FROM x),
-    m AS (SELECT date, vol >= quantile_cont(vol, 2.0 / 3) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS off, row_number() OVER (ORDER BY date) AS n FROM y WHERE symbol = (SELECT min(symbol) FROM g)),
+    m AS (SELECT date, vol * 1.000000001 >= quantile_cont(vol, 2.0 / 3) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS off, row_number() OVER (ORDER BY date) AS n FROM y WHERE symbol = (SELECT min(symbol) FROM g)),
     z AS (SELECT y.*, coalesce(off AND n > 252, false) AS off, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY y.date ORDER BY score DESC NULLS LAST, symbol) END AS place FROM y JOIN m USING (date) WHERE y.date IN (SELECT date FROM ends)),
     k AS (SELECT *, CASE WHEN place <= 2 THEN 1 / greatest(coalesce(vol, 0), 1e-6) END AS inv FROM z),
     w AS (SELECT date, symbol, coalesce((1 - CASE WHEN off THEN 0.5 ELSE 0 END) * inv / sum(inv) OVER (PARTITION BY date), 0) AS w FROM k)"""
@@ -70,7 +70,7 @@ def _rotation(spark, d):
     y = y.withColumn("vol", rolling(F.stddev_samp("ret"), "ret", 20, C.dated()) * F.sqrt(F.lit(252.0)))
     first = g.agg(F.min("symbol").alias("symbol"))
     market = y.join(F.broadcast(first), "symbol", "left_semi")
-    off = (F.col("vol") >= rolling_quantile("vol", 2.0 / 3, 61, C.dated(), 1)) & (F.row_number().over(C.dated()) > 252)
+    off = (F.col("vol") * 1.000000001 >= rolling_quantile("vol", 2.0 / 3, 61, C.dated(), 1)) & (F.row_number().over(C.dated()) > 252)
     m = market.select("date", F.coalesce(off, F.lit(False)).alias("risk_off"))
     ranked = y.join(C.month_ends(g), "date", "left_semi").join(m, "date")
     return g, S.rotation_weights(ranked, 2, 0.5, "cash")
