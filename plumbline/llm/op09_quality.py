@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import free, materialize, table
 from .textbytes import NON_SPACE, Hashes, class_table, counts, mix, pieces
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -21,8 +21,9 @@ _LINE = class_table(b"\n")
 
 #: Relative error of a sketch's quantiles: neighbouring bins differ by this factor.
 GAMMA = 1.02
-#: A group with fewer documents takes the limits of its language, a language with fewer those of all documents.
-LEAST_DOCS = 100
+#: Documents that a language's sketch counts for when it is merged into its groups' sketches, and that of all documents
+#: when it is merged into the languages', so that a group's limits go over into its language's the fewer texts it has.
+PRIOR = 100.0
 REACH = 3.0
 #: rule: (its ratio, the least spread that counts, whether small values fail too)
 RULES = {
@@ -95,44 +96,52 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "rule", bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame) -> DataFrame:
-    """lang, source, and a column low_/high_ for each rule: quartiles widened by REACH times their distance from the median."""
+def merged(sketch: DataFrame) -> DataFrame:
+    """lang, source, rule, bin, n (double): every group's sketch and, merged into it at the weight of PRIOR documents,
+    that of its language, into which that of all documents is merged the same way."""
     held = sketch.groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
-    levels = [
-        held.select(F.lit(2).alias("level"), "lang", "source", "rule", "bin", "n"),
-        held.select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "rule", "bin", "n"),
-        held.select(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "rule", "bin", "n"),
-    ]
-    merged = levels[0].union(levels[1]).union(levels[2]).groupBy("level", "lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("level", "lang", "source", "rule")
-    ranked = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
+    total = held.groupBy("rule", "bin").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("rule")))
+    total = total.select(F.col("rule").alias("_rule"), "bin", (PRIOR * F.col("n") / F.col("all")).alias("n"))
+    langs = held.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
+    prior = langs.select("lang", "rule").distinct().join(total, F.col("rule") == F.col("_rule")).select("lang", "rule", "bin", "n")
+    langs = langs.withColumn("n", F.col("n").cast("double")).union(prior).groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
+    langs = langs.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    langs = langs.select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), "bin", (PRIOR * F.col("n") / F.col("all")).alias("n"))
+    groups = held.select("lang", "source", "rule").distinct()
+    prior = groups.join(langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule"))).select("lang", "source", "rule", "bin", "n")
+    return held.withColumn("n", F.col("n").cast("double")).union(prior).groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """lang, source, limits (rule to low, high) for every group of sketch (lang, source, rule, bin, n): the quartiles of
+    its merged() sketch, widened by REACH times their distance from the median. A null language or source is a group
+    of its own, one document makes a group, no sketch gives no limits."""
+    w = Window.partitionBy("lang", "source", "rule")
+    ranked = merged(sketch).withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("all", F.max("upto").over(w))
     value = F.when(F.col("bin") == -10_000, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin") - 0.5))
     quartile = {q: F.min(F.when(F.col("upto") >= F.col("all") * p, value)) for q, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
-    found = ranked.groupBy("level", "lang", "source", "rule").agg(*(v.alias(k) for k, v in quartile.items()), F.max("all").alias("docs"))
+    found = ranked.groupBy("lang", "source", "rule").agg(*(v.alias(k) for k, v in quartile.items()))
     least = F.create_map(*(x for r, (_, spread, _) in RULES.items() for x in (F.lit(r), F.lit(spread))))[F.col("rule")]
     both = F.create_map(*(x for r, (_, _, b) in RULES.items() for x in (F.lit(r), F.lit(b))))[F.col("rule")]
     found = found.select(
-        "level", "lang", "source", "rule", "docs",
+        "lang", "source", "rule",
         (F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q2"), least)).alias("high"),
         F.when(both, F.col("q2") - REACH * F.greatest(F.col("q2") - F.col("q1"), least)).otherwise(F.lit(-1.0)).alias("low"),
     )
-    sets = found.groupBy("level", "lang", "source").agg(
-        F.max("docs").alias("docs"),
-        F.map_from_entries(F.collect_list(F.struct("rule", F.struct("low", "high")))).alias("limits"),
-    )
-    own, by_lang, overall = (sets.where(f"level = {k}").alias(f"s{k}") for k in (2, 1, 0))
-    joined = own.join(by_lang, F.col("s2.lang").eqNullSafe(F.col("s1.lang"))).crossJoin(overall)  # overall is one row
-    pick = F.when(F.col("s2.docs") >= LEAST_DOCS, F.col("s2.limits")).when(F.col("s1.docs") >= LEAST_DOCS, F.col("s1.limits")).otherwise(F.col("s0.limits"))
-    return joined.select(F.col("s2.lang").alias("lang"), F.col("s2.source").alias("source"), pick.alias("limits"))
+    return found.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("low", "high")))).alias("limits"))
 
 
-def judge(measured: DataFrame, found: DataFrame, m: Column) -> DataFrame:
-    """Adds failed: the rules that a row breaks, base first. found: a written table of limits()."""
+def judge(measured: DataFrame, found: DataFrame, m: Column, verdict: str = "failed") -> DataFrame:
+    """Adds a column verdict: the rules that a row breaks, base first. measured: has lang and source, and its measures
+    in m; a null measure breaks no limit. found: a written table of limits(), joined by a broadcast where it is counted
+    to be small. Repeated rows get the same verdict, no rows give none; measured's other columns may have any names."""
     few = found.count() <= BROADCAST_GROUPS
-    right = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("limits").alias("_limits"))
+    lang, source, limit_of = (free(measured, x) for x in ("own_lang", "own_source", "limits"))
+    right = found.select(F.col("lang").alias(lang), F.col("source").alias(source), F.col("limits").alias(limit_of))
     joined = measured.join(
         F.broadcast(right) if few else right,
-        measured["lang"].eqNullSafe(F.col("_lang")) & measured["source"].eqNullSafe(F.col("_source")),
+        measured["lang"].eqNullSafe(F.col(lang)) & measured["source"].eqNullSafe(F.col(source)),
         "left",
     )
     broken = [F.when(base_failed(m), F.lit("base"))]
@@ -144,9 +153,9 @@ def judge(measured: DataFrame, found: DataFrame, m: Column) -> DataFrame:
         "word_length": F.try_divide(of["word_chars"], of["n_words"]),
     }
     for rule in RULES:
-        limit, x = F.col("_limits")[rule], F.coalesce(ratio[rule], F.lit(0.0))
+        limit, x = F.col(limit_of)[rule], F.coalesce(ratio[rule], F.lit(0.0))
         broken.append(F.when((x > limit["high"]) | (x < limit["low"]), F.lit(rule)))
-    return joined.withColumn("failed", F.array_compact(F.array(*broken))).drop("_lang", "_source", "_limits")
+    return joined.withColumn(verdict, F.array_compact(F.array(*broken))).drop(lang, source, limit_of)
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -163,11 +172,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass every rule, with their columns; texts are read twice and never shuffled."""
-    m = docs.select("lang", "source", measures("text").alias("_m")).select("lang", "source", "_m.*")
+    """The rows of docs that pass every rule, with their columns, whatever the others' names; texts are read twice and
+    never shuffled. Null, empty and short texts go by the base rule, repeated rows stay or go together, an empty table
+    gives an empty one."""
+    m = docs.select("lang", "source", measures("text").alias("m")).select("lang", "source", "m.*")
     found = materialize(limits(sketches(m)), "limits")
-    measured = docs.withColumn("_m", measures("text"))
-    return judge(measured, found, F.col("_m")).where(F.size("failed") == 0).select(*docs.columns)
+    measured, failed = free(docs, "measures"), free(docs, "failed")
+    judged = judge(docs.withColumn(measured, measures("text")), found, F.col(measured), failed)
+    return judged.where(F.size(failed) == 0).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
