@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, table
+from .common import free, materialize, release, table
 from .components import connected_components
 from .textbytes import LOWER, NON_SPACE, counts, pieces
 
@@ -19,7 +19,9 @@ RADIUS = 2
 #: Bits of a fingerprint are cut into this many blocks; two fingerprints within RADIUS bits agree on all but RADIUS of them.
 BLOCKS = 4
 PIVOTS = 16
-#: Fingerprints of a bucket up to which its pairs are looked at; fuller buckets take the exact way of meeting().
+#: The first CELLS pivots' distances, cut into ranges of 2 * RADIUS + 1, divide every bucket into cells.
+CELLS = 2
+#: Fingerprints of a cell up to which its pairs are looked at; fuller cells take the exact way of meeting().
 FULL = 32
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
 
@@ -95,10 +97,12 @@ def hamming(a: str | Column, b: str | Column) -> Column:
 def links_within(classes: DataFrame) -> DataFrame:
     """Links u, v of the distinct fingerprints fp that differ in RADIUS bits or fewer, or paths of such links.
 
-    Two such fingerprints agree on BLOCKS - RADIUS blocks of bits, so each is looked up under every choice of that
-    many blocks. In a bucket, a pair whose distances to some pivot differ by over RADIUS can't be within RADIUS
-    (triangle inequality) and is discarded; the survivors' Hamming distance is computed. A bucket of over FULL
-    fingerprints goes to meeting() instead, which is exact too and makes no pairs.
+    Two such fingerprints agree on BLOCKS - RADIUS blocks of bits, so each is dealt to a bucket for every choice of that
+    many blocks. Within a bucket the pivot tables make the candidates: distances to a pivot of a linked pair differ by
+    RADIUS at most (triangle inequality), so one of them, in the cell of its own distances, meets the other in one of
+    the cells that its distances less or more RADIUS reach. Candidates whose distances to some pivot differ by more are
+    discarded; the survivors' Hamming distance is computed. A cell of over FULL fingerprints goes to meeting()
+    instead, which is exact too and makes no pairs.
     """
     width = 64 // BLOCKS
     block = [F.shiftrightunsigned("fp", width * i).bitwiseAND((1 << width) - 1) for i in range(BLOCKS)]
@@ -108,14 +112,24 @@ def links_within(classes: DataFrame) -> DataFrame:
     ]
     known = classes.select("fp", F.array(*(hamming("fp", F.lit(p)).cast("byte") for p in pivots())).alias("far"))
     dealt = known.select("fp", "far", F.explode(F.array(*keys)).alias("key"))
-    held = dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    held = dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").drop("held")
     dealt = materialize(dealt.join(held, "key"), "buckets")
-    some = dealt.where(f"held <= {FULL}")
-    a, b = some.alias("a"), some.alias("b")
+
+    def cell(i: int, more: int) -> Column:
+        return F.floor((F.get("far", F.lit(i)) + more) / (2 * RADIUS + 1)).cast("int")
+
+    names = [f"c{i}" for i in range(CELLS)]
+    own = dealt.select("key", "fp", "far", *(cell(i, 0).alias(c) for i, c in enumerate(names)))
+    wide = dealt
+    for i, c in enumerate(names):
+        wide = wide.withColumn(c, F.explode(F.sequence(cell(i, -RADIUS), cell(i, RADIUS))))
+    full = materialize(wide.groupBy("key", *names).agg(F.count("*").alias("held")).where(f"held > {FULL}").drop("held"), "crowded")
+    a, b = own.join(full, ["key", *names], "left_anti").alias("a"), wide.alias("b")
     apart = F.greatest(*(F.abs(F.get("a.far", F.lit(i)) - F.get("b.far", F.lit(i))) for i in range(PIVOTS)))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (apart <= RADIUS) & (hamming("a.fp", "b.fp") <= RADIUS))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in names]
+    pairs = a.join(b, [F.col("a.key") == F.col("b.key"), *same, F.col("a.fp") < F.col("b.fp"), apart <= RADIUS, hamming("a.fp", "b.fp") <= RADIUS])
     close = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return close.union(meeting(dealt.where(f"held > {FULL}").select("fp").distinct()))
+    return close.union(meeting(wide.join(full, ["key", *names], "left_semi").select("fp").distinct()))
 
 
 def meeting(dense: DataFrame) -> DataFrame:
@@ -152,8 +166,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component; of rows that repeat an id, all stay or go together."""
+    """The rows of docs that are the first (smallest id) of their component, with all columns, whatever their names.
+
+    Of rows that repeat an id, all stay or go together. Rows without an id stay only where their component has no id.
+    Null and empty texts are copies of each other. An empty table gives an empty one.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    first = found.where(F.col("component").eqNullSafe(F.col("id")))
-    ids = first.select(F.col("id").alias("_kept")).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = free(docs, "kept")
+    ids = found.where(F.col("component").eqNullSafe(F.col("id"))).select(F.col("id").alias(kept)).distinct()
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col(kept)), "left_semi")
