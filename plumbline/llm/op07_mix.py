@@ -43,7 +43,7 @@ def targets(sized: DataFrame) -> DataFrame:
     ones, shared by weight, gives it its cap or more. One row for each source.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    one = Window.partitionBy(F.lit(0))  # a row for each source
+    one = Window.partitionBy(F.lit(0))  # a row of some 100 bytes for each source: names, not documents
     weighed = totals.withColumn("weight", ((F.row_number().over(one.orderBy(F.asc_nulls_last("source"))) - 1) % 3 + 1).cast("double"))
     cap = (MOST * F.col("source_size")).cast("double")
     by = one.orderBy(cap / F.col("weight"), F.asc_nulls_last("source"))
@@ -128,6 +128,22 @@ def _balance(seed: int):
 _UNIT = "doc_id long, source string, size long, source_size long, target double, whole long, x double, deal long, block long, last boolean"
 
 
+def _told_apart(units: DataFrame, seed: int) -> DataFrame:
+    """units, where rows that share an id and a size in a source get a deal of their own each.
+
+    They are exchangeable, so any numbers do as long as they are the same set in every run: repeated rows are counted
+    and generated anew from the counts, without a sort or a group that holds them.
+    """
+    rest = [c for c in units.columns if c != "deal"]
+    many = units.groupBy(*rest).agg(F.count("*").alias("rows"), F.first("deal").alias("deal"))
+    # a row's copies are numbered in two steps, so that neither step makes an array of more than the root of their number
+    side = F.ceil(F.sqrt("rows")).cast("int")
+    some = many.withColumn("a", F.explode(F.sequence(F.lit(0), side - 1))).withColumn("side", side)
+    each = some.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).withColumn("copy", F.col("a") * F.col("side") + F.col("b")).where("copy < rows")
+    deal = F.when(F.col("rows") == 1, F.col("deal")).otherwise(F.xxhash64("deal", "copy", F.lit(seed)))
+    return each.select(*rest, deal.alias("deal"))
+
+
 def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of sized (doc_id, source, size).
 
@@ -136,7 +152,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     and of words. The units of a source are dealt into blocks of about BLOCK by a hash, each block leaves two open
     units at most, those of all blocks are dealt again, and in a source's last block the landing settles them. So no
     task sees a whole source, and a source's words miss its target by less than its largest document. Rows of size 0 take 0.
-    Repeated rows are units like others; null ids are allowed; a null source is one; no rows give none. Reruns agree.
+    Repeated rows are units like others, dealt apart; null ids are allowed; a null source is one; no rows give none. Reruns agree.
     """
     shares = materialize(targets(sized), "targets")
     right = shares.select(F.col("source").alias("_source"), "source_size", "docs", "target")
@@ -149,6 +165,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
         F.xxhash64("doc_id", "size", F.lit(seed)).alias("deal"),
         F.col("docs").alias("open"),
     )
+    units = _told_apart(units, seed)
     done = None
     turn = 0
     while True:
