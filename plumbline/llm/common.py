@@ -30,8 +30,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{tag}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting that shuffle files go as soon as their query has ended.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go as soon as their query has ended, and batches that Python takes are
+#: smaller than Spark's own, as their size is held several times by the executor and the worker.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,15 +47,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out

@@ -20,8 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    mark = _mark(now)
-    while mark[0]:
+    while not _settled(now):
         turned = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = now.union(turned).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = turned.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -35,13 +34,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         after = materialize(small, "edges")
         release(now)
-        before, mark, now = mark, _mark(after), after
-        if mark == before:
-            break
+        now = after
     out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out._plumbline_path = now._plumbline_path
     return out
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node without any."""
+    roots = edges.select(F.col("v").alias("u")).distinct()
+    several = edges.groupBy("u").count().where("count > 1").select("u")
+    return edges.join(roots, "u", "left_semi").select("u").union(several).isEmpty()

@@ -379,10 +379,15 @@ def line_roots(docs: DataFrame, star: DataFrame) -> DataFrame:
         near = near.union(x)
     roots = connected_components(near)
     pairs = _across_components(met.select("band", "key"), roots, bodies)
-    all_ = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_similar(pairs, bodies)))
-    for x in (*links, *held, pairs, bodies):
+    found = materialize(_similar(pairs, bodies), "near")
+    # what those links join are whole components, so only their roots need to be joined
+    mine = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv"]
+    ends = found.join(mine[0], "u", "left").join(mine[1], "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    more = connected_components(ends)
+    joined = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("first")), "root", "left")
+    all_ = materialize(joined.select("node", F.coalesce("first", "root").alias("root")).unionByName(more), "roots")
+    for x in (*links, *held, pairs, found, bodies, roots, more):
         release(x)
-    release(roots)
     return all_
 
 
