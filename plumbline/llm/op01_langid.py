@@ -14,9 +14,8 @@ from .textbytes import LOWER, pieces
 WINDOW = 256
 #: Widths of the filters, and how many there are of each.
 WIDTHS, FILTERS = (2, 4), 16
-#: Labelled texts that the network is fitted on, for each language, and languages at most; the labels that most texts
-#: have are learned.
-TEXTS_PER_LANG, LANGS = 300, 200
+#: Labelled texts that the network is fitted on, for each language; every label that a text has is learned.
+TEXTS_PER_LANG = 300
 #: Windows taken from each of those texts.
 WINDOWS_PER_TEXT = 8
 _PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -130,12 +129,13 @@ def held_out(doc_id: str | Column) -> Column:
 
 def train(docs: DataFrame, seed: int = 0) -> ByteConvNet | None:
     """A network fitted on a sample of the labelled, not held-out rows of docs (doc_id, text, lang), about
-    TEXTS_PER_LANG of each of the LANGS most frequent labels; None without any.
+    TEXTS_PER_LANG of each label (all of a label with fewer); None without any.
 
-    The sample is by a hash of the id, its windows lie evenly over each whole text.
+    The sample is by a hash of the id, its windows lie evenly over each whole text. Repeated rows of one id and text
+    count once each. What reaches the driver grows with the number of labels only.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id")).select("doc_id", "text", "lang")
-    per = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    per = known.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return None
     share = F.create_map(*(x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, TEXTS_PER_LANG / r["count"])))))
