@@ -156,33 +156,31 @@ class Automaton:
                 if a == i:
                     self.skip[i] |= self.skip[b] if b > i else 0
         self.begin = self.skip[0]
+        self.known: dict[int, int] = {}
         #: a text without this mandatory word can't be accepted
         self.anchor = number[max(self.words, key=len)]
 
     def opened(self, states: int) -> int:
-        out = 0
-        while states:
-            low = states & -states
-            out |= self.skip[low.bit_length() - 1]
-            states ^= low
-        return out
+        known = self.known.get(states)
+        if known is None:
+            known, rest = 0, states
+            while rest:
+                low = rest & -rest
+                known |= self.skip[low.bit_length() - 1]
+                rest ^= low
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[states] = known
+        return known
 
-    def accepts(self, tokens: list[int], at: int) -> bool:
-        """Whether some run of tokens that begins at position at is one of the template's texts."""
+    def found(self, tokens: list[int]) -> bool:
+        """Whether some run of tokens is one of the template's texts: one pass, in which a run begins at every token."""
         states = self.begin
-        for t in tokens[at:]:
+        for t in tokens:
+            states = self.opened((states & (self.step.get(t, 0) | self.any)) << 1) | self.begin
             if states & self.accept:
                 return True
-            moved = states & (self.step.get(t, 0) | self.any)
-            if not moved:
-                return False
-            states = self.opened(moved << 1)
-        return bool(states & self.accept)
-
-    def found(self, tokens: list[int]) -> bool:
-        first = {t for t, s in self.step.items() if s & self.begin}
-        wild = self.any & self.begin
-        return any((t in first or wild) and self.accepts(tokens, i) for i, t in enumerate(tokens))
+        return False
 
 
 class Scanner:
