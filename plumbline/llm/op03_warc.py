@@ -8,54 +8,77 @@ from hashlib import sha1
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import materialize, new_path, table
+from .common import materialize, new_path, release, table
 
 MAGIC = "WARC/1.0\r\n"
 #: Payloads of fewer bytes are always stored whole.
 LEAST_REVISIT = 1000
 #: Repeated payloads up to which their table is broadcast (some 100 bytes each); beyond that the pages are shuffled.
 BROADCAST_GROUPS = 100_000
+#: Bytes of an archive's stretch by which chunks meet the payloads that they are parts of.
+STRETCH = 1 << 16
 _FIELD = re.compile(rb"(?:^|\r\n)([!-9;-~]+): *([^\r\n]*)")
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, rid, type, record for every row of pages (page_id, url, html); a null url or html counts as empty.
+    """page_id, record for every row of pages (page_id, url, html; others are ignored, whatever their names).
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, that with the largest page_id (null is the smallest;
-    of repeated ids, the last row as scanned) is a response, the others revisit it. All else is a response.
+    of rows that repeat it, one) is a response, the others revisit it. All else is a response. A null url or html counts
+    as empty; no pages give no records.
     """
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("rid"),
     )
     p = p.withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    groups = p.where(F.col("n") >= LEAST_REVISIT).groupBy(F.col("digest").alias("_digest"), F.col("n").alias("_n"))
-    top = groups.agg(F.max(F.struct("page_id", "rid")).alias("_top"), F.count("*").alias("_many")).where("_many > 1").drop("_many")
-    top = materialize(top, "repeated")
+    each = p.where(F.col("n") >= LEAST_REVISIT).groupBy("digest", "n", "page_id").agg(F.count("*").alias("ties"))
+    top = each.groupBy(F.col("digest").alias("_digest"), F.col("n").alias("_n")).agg(F.max(F.struct("page_id", "ties")).alias("_top"), F.sum("ties").alias("_many"))
+    top = materialize(top.where("_many > 1").drop("_many"), "repeated")
     few = top.count() <= BROADCAST_GROUPS
     joined = p.join(F.broadcast(top) if few else top, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
-    revisit = F.col("_top").isNotNull() & (F.col("_top.rid") != F.col("rid"))
-    number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-
-    def name(page, rid):
-        return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), rid.cast("string"), F.lit(">"))
-
+    first = F.col("_top").isNotNull() & F.col("_top.page_id").eqNullSafe(F.col("page_id"))
+    tied = F.coalesce(first & (F.col("_top.ties") > 1), F.lit(False))
+    number = F.monotonically_increasing_id().cast("string")
+    plain = joined.where(~tied).select("*", F.when(first, "first").otherwise(number).alias("own"))
+    out = plain.select(*_record())
+    if top.where("_top.ties > 1").isEmpty():
+        return out
+    # rows that repeat the largest page_id: a written table, so that one of them is the response whatever is scanned how
+    same = materialize(joined.where(tied).withColumn("own", F.concat(F.lit("t"), number)), "tied")
+    picked = materialize(same.groupBy("digest", "n").agg(F.max("own").alias("_own")), "picked")
+    few = picked.count() <= BROADCAST_GROUPS
+    one = same.join(F.broadcast(picked) if few else picked, ["digest", "n"])
+    return out.union(one.withColumn("own", F.when(F.col("own") == F.col("_own"), "first").otherwise(F.col("own"))).select(*_record()))
+
+
+def _record() -> list[Column]:
+    """page_id and record from a row's page_id, url, html, n, digest, own (first: the response of repeated payloads, else
+    the row's number) and _top (of repeated payloads)."""
+    revisit = F.col("_top").isNotNull() & (F.col("own") != "first")
+
+    def text(x: str) -> Column:
+        return F.coalesce(F.col(x).cast("string"), F.lit(""))
+
+    response = F.concat(F.lit("<urn:page:"), text("_top.page_id"), F.lit(":"), F.col("digest"), F.lit(">"))
+    own = F.when(F.col("own") == "first", response).otherwise(F.concat(F.lit("<urn:page:"), text("page_id"), F.lit(":"), F.col("own"), F.lit(">")))
     head = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id"), F.col("rid")),
+        F.lit("\r\nWARC-Record-ID: "), own,
         F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit("\r\nX-Page-ID: "), number,
+        F.lit("\r\nX-Page-ID: "), text("page_id"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("_top.page_id"), F.col("_top.rid")), F.lit("\r\nX-Refers-To-Page-ID: "), F.coalesce(F.col("_top.page_id").cast("string"), F.lit("")))).otherwise(""),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), response, F.lit("\r\nX-Refers-To-Page-ID: "), text("_top.page_id"))).otherwise(""),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, 0).otherwise(F.col("n")).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    return joined.select("page_id", "rid", F.concat(head, F.when(revisit, "").otherwise(F.col("html")), F.lit("\r\n\r\n")).alias("record"))
+    return [F.col("page_id"), F.concat(head, F.when(revisit, "").otherwise(F.col("html")), F.lit("\r\n\r\n")).alias("record")]
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -129,14 +152,16 @@ def _split(where: tuple, length: int, held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[c], kinds.get(c, pa.int64())) for c in columns], columns)
 
 
+def _bases(splits: DataFrame) -> DataFrame:
+    """file, block, base: where each split of splits (file, block, length) begins."""
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("file", "block", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
+
+
 def placed(found: DataFrame) -> DataFrame:
     """candidates() with offsets from the start of their files: a split begins where those before it end."""
     splits = found.where("at is null").groupBy("file", "block").agg(F.sum("upto").alias("length"))
-    earlier = splits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "length"))).alias("s"))
-    base = earlier.select(
-        "file",
-        F.explode(F.transform("s", lambda x, i: F.struct(x["block"].alias("block"), F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("base")))).alias("b"),
-    ).select("file", "b.block", "b.base")
+    base = _bases(splits)
     moved = {c: F.col(c) + F.col("base") for c in ("at", "upto", "out", "body_at")}
     return found.where("at is not null").join(base, ["file", "block"]).withColumns(moved).drop("base")
 
@@ -203,14 +228,18 @@ def _cut_payloads(spark: SparkSession, path: str, cut: DataFrame) -> DataFrame:
 
     parts = chunks.mapInArrow(run, "file string, block long, at long, value binary")
     lengths = parts.groupBy("file", "block").agg(F.max(F.col("at") + F.octet_length("value") + len(MAGIC)).alias("length"))
-    first = lengths.alias("a").join(lengths.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.block") < F.col("a.block")), "left")
-    base = first.groupBy(F.col("a.file").alias("file"), F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.length"), F.lit(0)).alias("base"))
-    parts = parts.join(base, ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("from"), "value")
-    c = cut.select(F.col("file").alias("_f"), F.col("at").alias("_at"), "body_at", "size")
-    met = parts.join(c, (F.col("file") == F.col("_f")) & (F.col("from") < F.col("body_at") + F.col("size")) & (F.col("from") + F.octet_length("value") + len(MAGIC) > F.col("body_at")))
+    parts = parts.join(_bases(lengths), ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("from"), "value")
+    # a chunk and a payload that overlap are joined in the first stretch of the file that holds some of both
+    reach = F.sequence(F.floor(F.col("from") / STRETCH), F.floor((F.col("from") + F.octet_length("value") + len(MAGIC)) / STRETCH))
+    parts = parts.withColumn("stretch", F.explode(reach))
+    span = F.sequence(F.floor(F.col("body_at") / STRETCH), F.floor((F.col("body_at") + F.col("size")) / STRETCH))
+    c = cut.select(F.col("file").alias("_f"), F.col("at").alias("_at"), "body_at", "size", F.explode(span).alias("_s"))
+    overlap = (F.col("from") < F.col("body_at") + F.col("size")) & (F.col("from") + F.octet_length("value") + len(MAGIC) > F.col("body_at"))
+    once = F.col("stretch") == F.floor(F.greatest("from", "body_at") / STRETCH)
+    met = parts.join(c, (F.col("file") == F.col("_f")) & (F.col("stretch") == F.col("_s")) & overlap & once)
     whole = met.groupBy("_f", "_at", "body_at", "size").agg(F.array_sort(F.collect_list(F.struct("from", "value"))).alias("p"))
 
-    @F.arrow_udf(_digest_type())
+    @F.arrow_udf(T.StringType())
     def digest(p: pa.Array, body_at: pa.Array, size: pa.Array) -> pa.Array:
         out = []
         for x, at, n in zip(p.to_pylist(), body_at.to_pylist(), size.to_pylist(), strict=True):
@@ -221,12 +250,6 @@ def _cut_payloads(spark: SparkSession, path: str, cut: DataFrame) -> DataFrame:
     return whole.select(F.col("_f").alias("file"), F.col("_at").alias("at"), digest("p", "body_at", "size").alias("digest"))
 
 
-def _digest_type():
-    from pyspark.sql import types as T
-
-    return T.StringType()
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, rid, type, payload_bytes, payload_digest (both of the full payload, that of a revisit is its
     response's), refers_to for every reachable record of the archives below path."""
