@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import last_n, rolling, series
+from ..functions.columns import last_n, series
 from .folds import frac_diff
 
 #: Response surfaces of the 5 % critical values of Dickey-Fuller statistics with a constant, by number of

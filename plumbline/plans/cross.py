@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import rolling, series
+from ..functions.columns import rolling
 from ..operators import cross_section as C
 from ..operators import portfolio as P
 from ..operators.folds import held_weights
 from ..sources import views
-from .catalog import BARS, PANEL, frame, query
+from .catalog import PANEL, frame, query
 from .catalog import gated as _gated
 from .features import r6
 

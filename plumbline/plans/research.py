@@ -9,7 +9,6 @@ from ..operators import bars as B
 from ..operators import cross_section as C
 from ..operators import dataset as D
 from ..operators import hygiene as H
-from ..operators import labeling as L
 from ..operators import portfolio as P
 from ..operators import relations as R
 from ..operators import validation as V

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import series
 from ..operators import folds, hygiene, joins, microstructure
-from ..operators import validation as V
 from ..sources import archive, views
-from .catalog import BARS, PANEL, SCORES, TRADES, query
+from .catalog import BARS, PANEL, TRADES, query
 from .features import r6
 
 
