@@ -30,31 +30,33 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{tag}-{uuid.uuid4().hex}"
 
 
-#: Settings while a table is written: shuffle files go as soon as their query has ended, and batches that Python takes are
-#: smaller than Spark's own, as their size is held several times by the executor and the worker.
-WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
-}
+#: Spark's setting that shuffle files go as soon as their query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Batches that Python takes where the session doesn't set its own: smaller than Spark's, as an executor and its workers hold
+#: a batch of texts several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs a re-read and no recomputation, and the shuffles that made the
-    table are deleted when it is written.
+    table are deleted when it is written. From the first table on, the session hands Python BATCHES.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    before = {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
+    for k, v in BATCHES.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
