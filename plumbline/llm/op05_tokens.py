@@ -131,6 +131,11 @@ class Alphabet:
         return np.repeat(self.kind, np.diff(np.append(self.first, 0x110000)))
 
 
+@lru_cache(2)
+def alphabet_of(path: str) -> Alphabet:
+    return Alphabet(path)
+
+
 class Merges:
     """The transducer of a file's merges."""
 
@@ -288,7 +293,7 @@ class Counter:
     """Counts of one tokenizer file in one worker process."""
 
     def __init__(self, path: str, alphabet: Alphabet | None = None):
-        alphabet = alphabet or Alphabet(path)
+        alphabet = alphabet or alphabet_of(path)
         self.path, self.special = path, alphabet.special
         self.classes = alphabet.classes()
         self.odd = alphabet.odd_ones()
@@ -364,16 +369,21 @@ def _powers(n: int) -> np.ndarray:
 _counters: dict[str, Counter] = {}
 
 
+def counter_of(path: str, alphabet: Alphabet) -> Counter:
+    """The worker's counter, which its tasks share; a function of the module, so that tasks refer to it and don't copy it."""
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = Counter(path, alphabet)
+    return _counters[path]
+
+
 def token_count(text: str | Column, path: str) -> Column:
     """Number of tokens of each text by the tokenizer file at path (which every worker must reach); null counts as empty."""
-    alphabet = Alphabet(path)
+    alphabet = alphabet_of(path)
 
     @F.arrow_udf("long")
     def run(batch: pa.Array) -> pa.Array:
-        if path not in _counters:
-            _counters.clear()
-            _counters[path] = Counter(path, alphabet)
-        counter = _counters[path]
+        counter = counter_of(path, alphabet)
         out: list[np.ndarray] = []
         for part in _parts(batch):
             out.append(counter.count(part))
