@@ -14,6 +14,7 @@ from . import (
     op09_quality,
     op10_lines,
     op12_merkle,
+    op13_drake,
 )
 
 QUERIES = {
@@ -28,9 +29,11 @@ QUERIES = {
     "op9_adaptive_quality": op09_quality.query,
     "op10_fuzzy_lines": op10_lines.query,
     "op12_merkle_manifest": op12_merkle.query,
+    "op13_drake_clusters": op13_drake.query,
 }
 ORACLE_SQL = {
     "op3_warc_chains": op03_warc.ORACLE_SQL,
     "op6_preference_pairs": op06_preferences.ORACLE_SQL,
     "op12_merkle_manifest": op12_merkle.ORACLE_SQL,
+    "op13_drake_clusters": op13_drake.ORACLE_SQL,
 }
