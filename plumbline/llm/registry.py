@@ -13,6 +13,7 @@ from . import (
     op08_decontaminate,
     op09_quality,
     op10_lines,
+    op11_passages,
     op12_merkle,
     op13_drake,
 )
@@ -28,12 +29,14 @@ QUERIES = {
     "op8_simhash_decontamination": op08_decontaminate.query,
     "op9_adaptive_quality": op09_quality.query,
     "op10_fuzzy_lines": op10_lines.query,
+    "op11_repeated_passages": op11_passages.query,
     "op12_merkle_manifest": op12_merkle.query,
     "op13_drake_clusters": op13_drake.query,
 }
 ORACLE_SQL = {
     "op3_warc_chains": op03_warc.ORACLE_SQL,
     "op6_preference_pairs": op06_preferences.ORACLE_SQL,
+    "op11_repeated_passages": op11_passages.ORACLE_SQL,
     "op12_merkle_manifest": op12_merkle.ORACLE_SQL,
     "op13_drake_clusters": op13_drake.ORACLE_SQL,
 }

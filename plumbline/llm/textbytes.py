@@ -112,5 +112,15 @@ class Hashes:
         return mix((self.sums[e] - self.sums[s]) * self.pow[1, s] + (e - s).astype(np.uint64))
 
 
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of every k consecutive words, from the words' hashes."""
+    n = len(h)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    power = _power_table(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[0, :n])))
+    return mix((sums[k:] - sums[: n - k + 1]) * power[1, : n - k + 1])
+
+
 def counts(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(rows, weights, n).astype(np.int64)
