@@ -169,21 +169,26 @@ def assign(state: DataFrame, c: Centroids, bounds: int) -> DataFrame:
     return state.select(*used).mapInArrow(run, _STATE)
 
 
-def _sums(state: DataFrame) -> DataFrame:
-    """cluster, n, s (componentwise sums) of the clusters: one row a cluster from every batch, then one a cluster."""
+def _sums(state: DataFrame, k: int, components: int) -> DataFrame:
+    """cluster, n, needed, s0, s1, ...: rows, the most near centroids that one was measured against (0 if all rows were
+    scanned) and componentwise sums of every cluster; one row a cluster from every batch, then one a cluster."""
+    names = [f"s{j}" for j in range(components)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, own = _matrix(b.column(1), np.int64), b.column(0).to_numpy()
+            x, own, measured = _matrix(b.column(1), np.int64), b.column(0).to_numpy(), b.column(2).to_numpy()
             order = np.argsort(own, kind="stable")
             which, at, n = np.unique(own[order], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(n), _lists(np.add.reduceat(x[order], at, axis=0))], ["cluster", "n", "s"])
+            needed = np.maximum.reduceat(np.where(measured < k, measured, 0)[order], at)
+            sums = np.add.reduceat(x[order], at, axis=0)
+            columns = [which.astype(np.int32), n, needed, *np.ascontiguousarray(sums.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cluster", "n", "needed", *names])
 
-    part = state.select("cluster", "v").mapInArrow(run, "cluster int, n long, s array<long>")
-    each = part.select("cluster", "n", F.posexplode("s").alias("j", "x")).groupBy("cluster", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    return each.groupBy("cluster").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("s"))
+    kind = "cluster int, n long, needed int, " + ", ".join(f"{c} long" for c in names)
+    part = state.select("cluster", "v", "measured").mapInArrow(run, kind)
+    return part.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"), *(F.sum(c).alias(c) for c in names))
 
 
 def cluster(
@@ -204,13 +209,14 @@ def cluster(
         after = materialize(assign(state, c, bounds), "assigned")
         release(state)
         state = after
-        if turn:
-            needed = state.where(F.col("measured") < len(points)).agg(F.max("measured")).first()[0]
-            bounds = min(bounds, max(least, needed or 0))
         if turn < rounds:
-            moved = c.points.copy()
-            for r in _sums(state).toLocalIterator():
-                moved[r["cluster"]] = np.floor_divide(np.array(r["s"], np.int64), r["n"])
+            moved, needed = c.points.copy(), least
+            for r in _sums(state, len(points), components).collect():  # a row a cluster
+                which, n, most, *sums = r
+                moved[which] = np.floor_divide(np.array(sums, np.int64), n)
+                needed = max(needed, most)
+            if turn:
+                bounds = min(bounds, needed)
             step = moved - c.points
             c = Centroids(moved, np.sqrt((step * step).sum(1).astype(np.float64)))
     return state, c.points
@@ -227,7 +233,7 @@ def _lookup(key: str, values: list, kind: T.DataType) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, points = cluster(table(spark, sf_dir, "embeddings"))
-    each = dict(found.groupBy("cluster").agg(F.sum("distance").alias("s")).toLocalIterator())
+    each = dict(found.groupBy("cluster").agg(F.sum("distance").alias("s")).collect())  # a row a cluster
     inertia = [each.get(i, 0) for i in range(len(points))]
     return found.select(
         "vec_id", "cluster", "distance",
