@@ -125,7 +125,8 @@ def _balance(seed: int):
     return run
 
 
-_UNIT = "doc_id long, source string, size long, source_size long, target double, whole long, x double, deal long, block long, last boolean"
+#: The id is a string of digits, as pandas would make a long beside a null a float.
+_UNIT = "doc_id string, source string, size long, source_size long, target double, whole long, x double, deal long, block long, last boolean"
 
 
 def _told_apart(units: DataFrame, seed: int) -> DataFrame:
@@ -159,7 +160,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     joined = sized.select(F.col("doc_id").cast("long"), "source", F.col("size").cast("long")).join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     units = joined.select(
-        "doc_id", "source", "size", "source_size", "target",
+        F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "source_size", "target",
         F.floor(rate).alias("whole"),
         F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("x"),
         F.xxhash64("doc_id", "size", F.lit(seed)).alias("deal"),
@@ -181,7 +182,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
         units = still.withColumn("deal", F.xxhash64("deal", F.lit(turn))).join(left, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         if still.isEmpty():
             break
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("x").cast("long"))).alias("taken"))
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("x").cast("long"))).alias("taken"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
