@@ -131,15 +131,15 @@ def train(docs: DataFrame, seed: int = 0) -> ByteConvNet | None:
     """A network fitted on a sample of the labelled, not held-out rows of docs (doc_id, text, lang), about
     TEXTS_PER_LANG of each label (all of a label with fewer); None without any.
 
-    The sample is by a hash of the id, its windows lie evenly over each whole text. Repeated rows of one id and text
-    count once each. What reaches the driver grows with the number of labels only.
+    The sample is by a hash of id and text, so that rows which share an id, or have none, are drawn apart; its windows lie
+    evenly over each whole text. Repeated rows of one id and text count once each, and are in or out together. What reaches the driver grows with the number of labels only.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id")).select("doc_id", "text", "lang")
     per = known.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return None
     share = F.create_map(*(x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, TEXTS_PER_LANG / r["count"])))))
-    dice = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND((1 << 40) - 1)) / float(1 << 40)
+    dice = (F.xxhash64("doc_id", "text", F.lit(seed)).bitwiseAND((1 << 40) - 1)) / float(1 << 40)
     chars = F.length("text")
     at = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)), lambda k: F.substring(F.col("text"), (1 + (k * chars / WINDOWS_PER_TEXT)).cast("int"), F.lit(WINDOW)))
     rows = (
