@@ -345,3 +345,21 @@ def test_transducer_starts_anew_without_a_change(monkeypatch):
     words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randint(1, 300))) for _ in range(60)]
     want = [len(e) for e in Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)]
     assert op05_tokens.Counter(path).count(words).tolist() == want
+
+
+def test_mix_keeps_large_ids_beside_null_ones(spark):
+    big = 9_007_199_254_740_993
+    rows = [(big + 2 * i, "s", 3 + i % 5) for i in range(50)] + [(None, "s", 4), (None, "t", 9), (big + 2, "t", 9)]
+    got = op07_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter(rows)
+
+
+@pytest.mark.parametrize("ids", [None, 1])
+def test_languages_are_learned_where_ids_say_nothing(spark, ids):
+    """Rows that share an id, or have none, are drawn one by one."""
+    rng = random.Random(2)
+    say = {"en": ["the", "house", "and", "with", "water"], "de": ["das", "und", "mit", "wasser", "nicht"]}
+    rows = [(ids, " ".join(rng.choice(say[x]) for _ in range(40)) + f" {i}", x) for i in range(400) for x in say]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r["lang"] for r in op01_langid.identify(docs).collect())
+    assert sum(got.values()) == 800 and got.keys() == {"en", "de"}
