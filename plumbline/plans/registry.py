@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross, details, ensembles, features, labels, models, reports, research, simulations, streams, studies, tables, validation  # noqa: F401
+from . import cross, details, ensembles, features, labels, models, relations, reports, research, simulations, streams, studies, tables, validation  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
