@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, release, table
 from .filters import key_filter, may_hold, maybe
-from .textbytes import NON_SPACE, Hashes, Piece, counts, grams, pieces
+from .textbytes import NON_SPACE, Hashes, Piece, grams, pieces
 
 #: Words of a window, of a phrase of the automata, and of a gram.
 WINDOW, PHRASE, GRAM = 20, 10, 8
@@ -34,9 +35,8 @@ STEP = WINDOW - PHRASE + 1
 SHARD_WINDOWS, TASK_BYTES = 1 << 17, 16 << 20
 #: Places compared at once, words on either side.
 COMPARED = 1 << 15
-#: First code point that stands for a word in an automaton, and how many there are; words that share one are told apart
-#: when phrases are extended.
-FIRST_CODE, CODES = 0xE000, 0x100000
+#: First code point of the letters that stand for words in an automaton.
+FIRST_CODE = 0xE000
 #: Turns window hashes into keys that differ from those of anchors.
 _TURN = np.uint64(0xA5A5A5A55A5A5A5A)
 
@@ -231,14 +231,16 @@ class Shard:
         self.text = np.concatenate(self.words)
         self.words = []
         self.docs, self.starts, self.begins = (np.array(x, np.int64) for x in zip(*self.meta, strict=True)) if self.meta else [np.zeros(0, np.int64)] * 3
-        codes = _codes(self.text)
+        # two letters a word, so that no node of the automaton, the root least, has many children to look through
+        self.base = 1 << ((len(self.numbers) + 1).bit_length() + 1) // 2
+        codes = self._codes(self.text)
         ends = np.append(self.begins[1:] - WINDOW, self.length - WINDOW)
         n = (ends - self.begins - PHRASE) // STEP + 1
         first = np.cumsum(n) - n
         place = np.repeat(self.begins - first * STEP, n) + np.arange(int(n.sum())) * STEP
         by: dict[str, list[int]] = {}
         for q in place.tolist():
-            by.setdefault(codes[q : q + PHRASE], []).append(q)
+            by.setdefault(codes[2 * q : 2 * (q + PHRASE)], []).append(q)
         self.places = np.array([q for x in by.values() for q in x], np.int64)
         self.many = np.array([len(x) for x in by.values()], np.int64)
         self.from_ = np.cumsum(self.many) - self.many
@@ -247,16 +249,22 @@ class Shard:
             self.automaton.add_word(phrase, i)
         self.automaton.make_automaton()
 
+    def _codes(self, numbers: np.ndarray) -> str:
+        """Two letters a word, of an alphabet for first and one for second letters."""
+        two = np.empty((len(numbers), 2), "<u4")
+        two[:, 0] = FIRST_CODE + numbers // self.base % self.base
+        two[:, 1] = FIRST_CODE + self.base + numbers % self.base
+        return two.tobytes().decode("utf-32-le")
+
     def later(self, doc: int, words: list[bytes]) -> list[int]:
         """Word ranges (from, to, from, to, ...) of the text that windows cover whose words a passage has at a smaller
         doc or in the same doc at a smaller place; ranges ascend and don't meet."""
-        get = self.numbers.get
         text = np.full(len(words) + 2 * WINDOW, -2, np.int32)
-        text[WINDOW:-WINDOW] = [get(x, 0) for x in words]
-        hits = np.array(list(self.automaton.iter(_codes(text[WINDOW:-WINDOW]))), np.int64).reshape(-1, 2)
+        text[WINDOW:-WINDOW] = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int32, len(words))
+        hits = np.array(list(self.automaton.iter(self._codes(text[WINDOW:-WINDOW]))), np.int64).reshape(-1, 2)
         if not len(hits):
             return []
-        at, phrase = hits[:, 0] - PHRASE + 1, hits[:, 1]
+        at, phrase = (hits[:, 0] + 1) // 2 - PHRASE, hits[:, 1]
         many = self.many[phrase]
         upto = np.cumsum(many)
         change = np.zeros(len(words) + 1, np.int64)
@@ -277,18 +285,14 @@ class Shard:
         return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).reshape(-1).tolist()
 
 
-def _codes(numbers: np.ndarray) -> str:
-    return (FIRST_CODE + numbers % CODES).astype("<u4").tobytes().decode("utf-32-le")
-
-
 def _extents(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of phrases at x[i] and y[j], how far the same words reach: from (0 or less) and to, seen from the phrase's first
-    word; no further than the windows that hold the phrase. Phrases that only share their codes reach nowhere."""
+    word; no further than the windows that hold the phrase."""
     left = np.arange(-1, -(WINDOW - PHRASE) - 1, -1)
     right = np.arange(WINDOW)
     f = np.logical_and.accumulate(x[i[:, None] + left] == y[j[:, None] + left], axis=1).sum(1)
     t = np.logical_and.accumulate(x[i[:, None] + right] == y[j[:, None] + right], axis=1).sum(1)
-    return -f * (t >= PHRASE), t
+    return -f, t
 
 
 def located(docs: DataFrame, held: DataFrame, ways: DataFrame) -> DataFrame:
