@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -66,23 +68,22 @@ def rank_share(x: str | Column, over: WindowSpec) -> Column:
     return F.when(x.isNotNull(), (below + (ties + 1) / 2) / F.count(x).over(over))
 
 
-def summed(df: DataFrame, order: list[str], x: str, name: str) -> DataFrame:
-    """Adds name: the sum of x (whole numbers) up to and with the row, in order, over all rows.
+def summed(df: DataFrame, order: list[str], x: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds name: the sum of x (whole numbers) up to and with the row, in order, over all rows or those of its group by.
 
-    Two levels, so that no task sees all rows: rows are dealt by range of the order's first column (a number, date or
-    time), each range sums its own rows, and what the ranges before it hold is added. The 63 bounds are read once, so
-    that all uses of the plan cut alike."""
-    kind = df.schema[order[0]].dataType.typeName()
-    key = {"date": F.unix_date, "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp"))}.get(kind, lambda c: c)(F.col(order[0]))
-    bounds = df.agg(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda v: v < key)) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", F.when(key.isNull(), -1).otherwise(part))
-    sums = dealt.groupBy("_part").agg(F.sum(x).alias("_s"))  # 65 rows
-    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("_own", F.sum(x).over(w)).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    Two levels, so that no task sees all rows or a whole group: rows are dealt by ranges of by and order, as many as there
+    are shuffle partitions, into a written table; each range sums its own rows, and what the ranges before it hold of the
+    group is added. Columns of by are never null."""
+    keys = [*by, "_range"]
+    dealt = df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    placed = written(dealt, "ranges")
+    held = placed.groupBy(*keys).agg(F.sum(x).alias("_s"))  # a row for each range and group in it
+    before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("_own", F.sum(x).over(w)).join(held, keys).withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds name: 0, 1, ... in order over all rows (order tells all rows apart), in two levels like summed()."""
-    return summed(df.withColumn("_one", F.lit(1)), order, "_one", name).withColumn(name, (F.col(name) - 1).cast("long")).drop("_one")
+def numbered(df: DataFrame, order: list[str], name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds name: 0, 1, ... in order over all rows or those of its group (order tells all rows apart), as summed() does."""
+    return summed(df.withColumn("_one", F.lit(1)), order, "_one", name, by).withColumn(name, (F.col(name) - 1).cast("long")).drop("_one")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import summed
+from ..functions.columns import numbered, summed
+from ..sources.shared import written
 
 
 def standardised(df: DataFrame, features: list[str]) -> DataFrame:
@@ -56,34 +57,90 @@ def probability(features: list[str], beta: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def fit_isotonic(df: DataFrame, x: str = "p", y: str = "y", bins: int = 10_000) -> list[tuple[float, float]]:
-    """Knots of a non-decreasing fit of y on x in [0, 1]: scores are counted in bins, whose number bounds what is pooled
-    on the driver, and neighbours that violate the order are merged."""
-    rows = df.groupBy(F.least(F.floor(F.col(x) * bins), F.lit(bins - 1)).alias("b")).agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.count("*").alias("w")).orderBy("b").collect()
-    blocks: list[list[float]] = []
-    for r in rows:
-        blocks.append([r["y"], r["w"], r["x"], r["x"]])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b, a = blocks.pop(), blocks[-1]
-            a[0], a[1], a[3] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], b[3]
-    return [k for y_, _, lo, hi in blocks for k in ([(lo, y_)] if lo == hi else [(lo, y_), (hi, y_)])]
-
-
-def calibrated(x: Column, knots: list[tuple[float, float]]) -> Column:
-    """Linear between knots, flat beyond."""
-    out = F.when(x <= knots[0][0], knots[0][1])
-    for (a, ya), (b, yb) in zip(knots, knots[1:], strict=False):
-        out = out.when(x <= b, ya + (yb - ya) * (x - a) / (b - a) if b > a else F.lit(yb))
-    return out.otherwise(knots[-1][1])
-
-
-def rank_against(scores: DataFrame, reference: DataFrame, x: str = "p") -> DataFrame:
-    """Adds share: the part of reference values that are at most x. Both are sorted together by value counts."""
-    per = reference.groupBy(x).agg(F.count("*").alias("n"))
-    values = per.select(x, "n").unionByName(scores.select(x).distinct().withColumn("n", F.lit(0).cast("long"))).groupBy(x).agg(F.sum("n").alias("n"))
-    total = reference.agg(F.count(x).alias("_all"))  # one row
-    ranked = summed(values, [x], "n", "_upto").join(F.broadcast(total))
-    return scores.join(ranked.select(x, F.try_divide("_upto", F.col("_all").cast("double")).alias("share")), x)
+#: Blocks that one task pools at once.
+POOLED = 1 << 16
+
+
+def isotonic_blocks(df: DataFrame, x: str = "p", y: str = "y", weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, lo, hi, value, w: the blocks of the non-decreasing weighted least-squares fit of y on x, of all rows or of each
+    group; rows with a missing x or y are left out, and blocks of equal value are one. A written table.
+
+    Equal scores are one value from the start. Blocks in order are dealt to runs of POOLED, each run pools its neighbours
+    that violate the order, and runs shift by half until none do: pooling in any order ends the same."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    start = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("lo")).agg(F.sum(w * F.col(y)).alias("wy"), F.sum(w).alias("w"))
+    blocks = start.where("w > 0").select(*by, "lo", F.col("lo").alias("hi"), "wy", "w")
+    keys = [*by, "_run"]
+    names = [*keys, "lo", "hi", "wy", "w"]
+    shift = 0
+    while True:
+        placed = numbered(blocks, ["lo"], "_i", by)
+        dealt = placed.withColumn("_run", F.expr(f"(_i + {shift}) div {POOLED}")).select(*names)
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+        pooled = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "lo").mapInArrow(_pool(len(keys)), kinds), "blocks")
+        w_ = Window.partitionBy(*by).orderBy("_run")
+        ends = pooled.groupBy(*keys).agg(F.min(F.struct("lo", (F.col("wy") / F.col("w")).alias("v")))["v"].alias("first"), F.max(F.struct("lo", (F.col("wy") / F.col("w")).alias("v")))["v"].alias("last"))
+        if ends.withColumn("before", F.lag("last").over(w_)).where("before >= first").isEmpty():  # a row a run
+            return pooled.select(*by, "lo", "hi", (F.col("wy") / F.col("w")).alias("value"), "w")
+        blocks, shift = pooled.drop("_run"), POOLED // 2 - shift
+
+
+def _pool(keys: int):
+    """Pools neighbouring violators of every run of sorted rows: keys, lo, hi, wy, w."""
+    import pyarrow as pa
+
+    def run(batches):
+        known, stack, schema = None, [], None
+
+        def out() -> pa.RecordBatch:
+            rows = [(*known, *b) for b in stack]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:keys] != known:
+                    if stack:
+                        yield out()
+                    known, stack = row[:keys], []
+                lo, hi, wy, w = row[keys:]
+                while stack and stack[-1][2] * w >= wy * stack[-1][3]:
+                    a = stack.pop()
+                    lo, wy, w = a[0], a[2] + wy, a[3] + w
+                stack.append((lo, hi, wy, w))
+        if stack:
+            yield out()
+
+    return run
+
+
+def calibrate(df: DataFrame, blocks: DataFrame, x: str = "p", name: str = "calibrated", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds name: the fit of isotonic_blocks() at x, linear between blocks and flat beyond; missing for a missing x and in a
+    group without blocks. Blocks stay a table: scores and knots are sorted together, and each score meets its two."""
+    ends = F.array_distinct(F.array(F.struct(F.col("lo").alias("kx"), F.col("value").alias("ky")), F.struct(F.col("hi").alias("kx"), F.col("value").alias("ky"))))
+    knots = numbered(blocks.select(*by, F.explode(ends).alias("k")).select(*by, "k.kx", "k.ky"), ["kx", "ky"], "_at", by)
+    after = knots.select(*by, (F.col("_at") - 1).alias("_at"), F.col("kx").alias("nx"), F.col("ky").alias("ny"))
+    first = after.where("_at = -1").withColumns({"kx": F.col("nx"), "ky": F.col("ny")})
+    spans = knots.join(after, [*by, "_at"], "left").unionByName(first)
+    values = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("kx")).distinct().withColumn("_n", F.lit(0).cast("long"))
+    both = knots.select(*by, "kx", F.lit(1).cast("long").alias("_n")).unionByName(values).groupBy(*by, "kx").agg(F.sum("_n").alias("_n"))
+    ranked = summed(both, ["kx"], "_n", "_upto", by).select(*by, F.col("kx").alias("_x"), (F.col("_upto") - 1).alias("_at"))
+    slope = F.try_divide(F.col("ny") - F.col("ky"), F.col("nx") - F.col("kx"))
+    value = F.when((F.col("_x") <= F.col("kx")) | F.col("nx").isNull(), F.col("ky")).otherwise(F.col("ky") + slope * (F.col("_x") - F.col("kx")))
+    found = ranked.join(spans, [*by, "_at"]).select(*by, "_x", value.alias(name))
+    keyed = df.withColumn("_x", F.col(x).cast("double"))
+    return keyed.join(found, [*by, "_x"], "left").select(*df.columns, name)
+
+
+def rank_against(scores: DataFrame, reference: DataFrame, x: str = "p", by: tuple[str, ...] = (), name: str = "share") -> DataFrame:
+    """Adds name: the part of reference values (of the same group by) that are at most x. Both are sorted together by value
+    counts."""
+    per = reference.groupBy(*by, x).agg(F.count("*").alias("n"))
+    values = per.select(*by, x, "n").unionByName(scores.select(*by, x).distinct().withColumn("n", F.lit(0).cast("long"))).groupBy(*by, x).agg(F.sum("n").alias("n"))
+    total = reference.groupBy(*by).agg(F.count(x).alias("_all"))  # a row a group
+    upto = summed(values, [x], "n", "_upto", by)
+    ranked = upto.join(total, list(by)) if by else upto.join(F.broadcast(total))
+    return scores.join(ranked.select(*by, x, F.try_divide("_upto", F.col("_all").cast("double")).alias(name)), [*by, x])
 
 
 def diagonal_mixture(df: DataFrame, x: list[str], k: int, rounds: int = 10) -> dict:

@@ -29,7 +29,7 @@ def logistic(spark, d):
 @query("m03_isotonic")
 def isotonic(spark, d):
     s = views.scores(spark, d)
-    return s.select("id", M.calibrated(F.col("p"), M.fit_isotonic(s)).alias("prob"))
+    return M.calibrate(s, M.isotonic_blocks(s), name="prob").select("id", "prob")
 
 
 @query(
