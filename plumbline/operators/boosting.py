@@ -89,9 +89,11 @@ class Tree:
 
 @dataclass
 class Fitted:
-    """A fitted model: start and trees over bins, or weights (bias first) over standardised features."""
+    """A fitted model: cuts of all features of the table, start and trees over bins, or weights (bias first) over
+    standardised features."""
 
     member: Boosted | Logistic
+    cuts: list[np.ndarray]
     start: float = 0.0
     trees: list[Tree] = field(default_factory=list)
     mean: np.ndarray | None = None
@@ -99,10 +101,11 @@ class Fitted:
     weights: np.ndarray | None = None
     losses: list[float] = field(default_factory=list)
 
-    def score(self, bins: np.ndarray, x: np.ndarray, columns: list[int]) -> np.ndarray:
-        """Log-odds of rows (bins and values of all features; columns: those of the member)."""
+    def score(self, x: np.ndarray, columns: list[int], bins: np.ndarray | None = None) -> np.ndarray:
+        """Log-odds of rows (values of all features, and their bins if they are known; columns: those of the member)."""
         if self.weights is not None:
             return self.weights[0] + ((np.nan_to_num(x[:, columns]) - self.mean) / self.scale) @ self.weights[1:]
+        bins = binned(x, self.cuts) if bins is None else bins
         out = np.full(len(bins), self.start)
         for tree in self.trees:
             out += np.array(tree.value)[tree.nodes_of(bins)]
@@ -117,59 +120,63 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), width)
 
 
-def feature_cuts(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
-    """For every feature ascending cuts, bins - 1 at most, that part its values into about equal numbers of rows.
+def feature_cuts(df: DataFrame, features: list[str], by: str | None = None, bins: int = BINS) -> dict[int, list[np.ndarray]]:
+    """For every group of by (0 without by) and feature ascending cuts, bins - 1 at most, that part the group's values into
+    about equal numbers of rows.
 
     Values are counted in PARTS equal intervals; those that hold more rows than a quarter of a bin are cut again, REFINED
     times at most. Counts are exact, so the cuts don't depend on how rows are dealt; what reaches the driver is bounded."""
-    ends = df.agg(*(f(x).alias(f"{k}{i}") for i, x in enumerate(features) for k, f in (("a", F.min), ("b", F.max), ("n", F.count)))).first()
-    known: list[dict] = []  # of every feature: edges of its intervals, and the rows of each, if counted
-    for i in range(len(features)):
-        a, b = ends[f"a{i}"], ends[f"b{i}"]
-        wide = a is not None and b > a
-        known.append({"edges": np.unique(np.linspace(a, b, PARTS + 1)) if wide else np.zeros(0), "n": ends[f"n{i}"]})
-    rows = df.select(*features)
+    rows = df.select((F.col(by) if by else F.lit(0)).cast("int").alias("g"), *features)
+    ends = rows.groupBy("g").agg(*(f(x).alias(f"{k}{i}") for i, x in enumerate(features) for k, f in (("a", F.min), ("b", F.max), ("n", F.count)))).collect()
+    known: dict[tuple[int, int], dict] = {}  # of every group and feature: edges of its intervals, and the rows of each
+    for r in ends:
+        for i in range(len(features)):
+            a, b = r[f"a{i}"], r[f"b{i}"]
+            wide = a is not None and b > a
+            known[r["g"], i] = {"edges": np.unique(np.linspace(a, b, PARTS + 1)) if wide else np.zeros(0), "n": r[f"n{i}"]}
     for turn in range(REFINED):
-        edges = [k["edges"] for k in known]
+        edges = {k: v["edges"] for k, v in known.items() if len(v["edges"]) > 1}
 
         def run(batches: Iterator[pa.RecordBatch], edges=edges) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = [[], [], []]
-                for j, e in enumerate(edges):
-                    if len(e) < 2:
-                        continue
-                    x = b.column(j).drop_null().to_numpy(zero_copy_only=False)
-                    at, n = np.unique(np.searchsorted(e, x, "left"), return_counts=True)
-                    for c, v in zip(out, (np.full(len(at), j), at, n), strict=True):
-                        c.append(v)
+                out = [[], [], [], []]
+                g = b.column(0).to_numpy()
+                for group in np.unique(g):
+                    mine = b.filter(pa.array(g == group))
+                    for j in range(len(features)):
+                        if (e := edges.get((int(group), j))) is None:
+                            continue
+                        x = mine.column(1 + j).drop_null().to_numpy(zero_copy_only=False)
+                        at, n = np.unique(np.searchsorted(e, x, "left"), return_counts=True)
+                        for c, v in zip(out, (np.full(len(at), group), np.full(len(at), j), at, n), strict=True):
+                            c.append(v)
                 columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(pa.int64()) for c in out]
-                yield pa.RecordBatch.from_arrays(columns, ["j", "at", "n"])
+                yield pa.RecordBatch.from_arrays(columns, ["g", "j", "at", "n"])
 
-        got = rows.mapInArrow(run, "j long, at long, n long").groupBy("j", "at").agg(F.sum("n").alias("n")).collect()
+        for k in known.values():
+            k["counts"] = np.zeros(len(k["edges"]) + 1, np.int64)  # counts[i]: values above edge i - 1, up to edge i
+        for r in rows.mapInArrow(run, "g long, j long, at long, n long").groupBy("g", "j", "at").agg(F.sum("n").alias("n")).collect():
+            known[r["g"], r["j"]]["counts"][r["at"]] = r["n"]
         again = False
-        for j, k in enumerate(known):
-            e = k["edges"]
-            if len(e) < 2:
+        for k in known.values():
+            e, counts = k["edges"], k["counts"]
+            if len(e) < 2 or turn + 1 == REFINED:
                 continue
-            counts = np.zeros(len(e) + 1, np.int64)  # counts[i]: values above edge i - 1, up to edge i
-            for r in got:
-                if r["j"] == j:
-                    counts[r["at"]] = r["n"]
-            k["counts"] = counts
-            if turn + 1 < REFINED:
-                more = [np.linspace(e[i - 1], e[i], PARTS // 8 + 1) for i in range(1, len(e)) if counts[i] > k["n"] / (4 * bins) and np.nextafter(e[i - 1], e[i]) < e[i]]
+            more = [np.linspace(e[i - 1], e[i], PARTS // 8 + 1) for i in range(1, len(e)) if counts[i] > k["n"] / (4 * bins) and np.nextafter(e[i - 1], e[i]) < e[i]]
+            if more:
                 # intervals without rows needn't be kept apart
                 keep = np.concatenate(([True], (counts[1:-2] > 0) | (counts[2:-1] > 0), [True]))
-                k["edges"] = np.unique(np.concatenate([e[keep], *more])) if more else e
-                again |= bool(more)
+                k["finer"], again = np.unique(np.concatenate([e[keep], *more])), True
         if not again:
             break
-    return [_chosen(k, bins) for k in known]
+        for k in known.values():
+            k["edges"] = k.pop("finer", k["edges"])
+    return {g: [_chosen(known[g, i], bins) for i in range(len(features))] for g in sorted({g for g, _ in known})}
 
 
 def _chosen(known: dict, bins: int) -> np.ndarray:
-    e, counts = known["edges"], known.get("counts")
-    if len(e) < 2 or counts is None:
+    e, counts = known["edges"], known["counts"]
+    if len(e) < 2:
         return np.zeros(0)
     upto, step, cuts, last = 0, known["n"] / bins, [], 0
     for i, c in enumerate(counts[:-1]):
@@ -283,11 +290,10 @@ def leaf_value(g: float, h: float, m: Boosted) -> float:
 _SUMS = "model int, node int, feature int, bin int, g long, h long, n long, d double"
 
 
-def _pass(rows: DataFrame, models: list[_Growth], cuts: list[np.ndarray]) -> DataFrame:
+def _pass(rows: DataFrame, models: list[_Growth], width: int) -> DataFrame:
     """model, node, feature, bin, g, h, n, d: sums of every model's pending nodes. Node -1 has the loss (d) and weight (h) of
     the check rows; node -2 a logistic model's gradients (d) by feature (-1: the bias)."""
-    width = len(cuts)
-    wide = max((len(c) for c in cuts), default=0) + 2
+    wide = BINS + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,45 +302,52 @@ def _pass(rows: DataFrame, models: list[_Growth], cuts: list[np.ndarray]) -> Dat
                 continue
             key, y, w = (b.column(i).to_numpy() for i in range(3))
             x = _matrix(b.column(3), np.float64, width)
-            bins = binned(x, cuts)
-            sides = {}
+            sides, known = {}, {}
             for name, column in (("train", b.column(4)), ("check", b.column(5))):
                 length = np.asarray(column.value_lengths())
                 sides[name] = np.repeat(np.arange(n), length), column.flatten().to_numpy(zero_copy_only=False)
+
+            def side(name: str, m: _Growth, sides=sides, known=known, x=x) -> tuple[np.ndarray, np.ndarray]:
+                """Rows that a model's split has in a role, and their bins."""
+                if (name, m.split) not in known:
+                    row, split = sides[name]
+                    mine = row[split == m.split]
+                    known[name, m.split] = mine, binned(x[mine], m.fitted.cuts)
+                return known[name, m.split]
+
             out: list[tuple] = []
             for k, m in enumerate(models):
-                row, split = sides["train"]
-                mine = row[split == m.split]
+                mine, bins = side("train", m)
                 member = m.fitted.member
                 if isinstance(member, Logistic):
                     if len(mine):
-                        err = w[mine] * (sigmoid(m.fitted.score(bins[mine], x[mine], m.columns)) - y[mine])
+                        err = w[mine] * (sigmoid(m.fitted.score(x[mine], m.columns)) - y[mine])
                         z = (np.nan_to_num(x[mine][:, m.columns]) - m.fitted.mean) / m.fitted.scale
                         d = np.concatenate(([err.sum()], err @ z))
                         out.append((k, -2, np.arange(-1, len(m.columns)), 0, 0, 0, len(mine), d))
                     continue
                 if member.patience:
-                    row, split = sides["check"]
-                    seen = row[split == m.split]
+                    seen, those = side("check", m)
                     if len(seen):
-                        p = np.clip(sigmoid(m.fitted.score(bins[seen], x[seen], m.columns)), 1e-15, 1 - 1e-15)
+                        p = np.clip(sigmoid(m.fitted.score(x[seen], m.columns, those)), 1e-15, 1 - 1e-15)
                         loss = -(w[seen] * (y[seen] * np.log(p) + (1 - y[seen]) * np.log1p(-p))).sum()
                         out.append((k, -1, np.array([0]), 0, 0, round(float(w[seen].sum()) * UNIT), len(seen), np.array([loss])))
                 if m.tree is None or not len(mine):
                     continue
                 if member.row_share < 1:
-                    mine = mine[_draw(key[mine], member.seed * 1_000_003 + m.turn) < member.row_share]
-                node = m.tree.nodes_of(bins[mine])
+                    drawn = _draw(key[mine], member.seed * 1_000_003 + m.turn) < member.row_share
+                    mine, bins = mine[drawn], bins[drawn]
+                node = m.tree.nodes_of(bins)
                 slot = np.full(len(m.tree.feature), -1)
                 slot[m.pending] = np.arange(len(m.pending))
                 at = slot[node]
-                mine, at = mine[at >= 0], at[at >= 0]
+                mine, bins, at = mine[at >= 0], bins[at >= 0], at[at >= 0]
                 if not len(mine):
                     continue
-                p = sigmoid(m.fitted.score(bins[mine], x[mine], m.columns))
+                p = sigmoid(m.fitted.score(x[mine], m.columns, bins))
                 g, h = np.rint(w[mine] * (p - y[mine]) * UNIT), np.rint(w[mine] * p * (1 - p) * UNIT)
                 used = np.array(m.used)
-                cell = (at[:, None] * len(used) + np.arange(len(used))) * wide + bins[mine][:, used]
+                cell = (at[:, None] * len(used) + np.arange(len(used))) * wide + bins[:, used]
                 size = len(m.pending) * len(used) * wide
                 count = np.bincount(cell.ravel(), minlength=size)
                 full = np.flatnonzero(count)
@@ -378,13 +391,11 @@ def _best_cuts(sums: DataFrame, models: list[_Growth]) -> DataFrame:
     return best.select("model", "node", "g", "h", "n", (-F.col("c.f")).alias("feature"), (-F.col("c.b")).alias("cut"), "c.gain", "c.gl", "c.hl", F.transform("d", lambda v: v["d"]).alias("d"))
 
 
-def fit(rows: DataFrame, features: list[str], members: dict[str, Boosted | Logistic], cuts: list[np.ndarray] | None = None) -> tuple[dict[tuple[int, str], Fitted], list[np.ndarray]]:
-    """The fitted model of every split and member, and the cuts of the features. rows: prepared(), features: those of its x.
+def fit(rows: DataFrame, features: list[str], members: dict[str, Boosted | Logistic]) -> dict[tuple[int, str], Fitted]:
+    """The fitted model of every split and member. rows: prepared(), features: those of its x.
 
-    A pass is one job for all models. Missing values go left in trees and count as 0 in logistic models. A split without
-    training rows has a model that gives one half."""
-    if cuts is None:
-        cuts = feature_cuts(rows.select(*(F.when(~F.isnan(F.get("x", F.lit(j))), F.get("x", F.lit(j))).alias(f"f{j}") for j in range(len(features)))), [f"f{j}" for j in range(len(features))])
+    A pass is one job for all models. Features are cut into bins by a split's training rows. Missing values go left in trees
+    and count as 0 in logistic models. A split without training rows has a model that gives one half."""
     at = {f: j for j, f in enumerate(features)}
     used = rows.select(F.explode("train").alias("split"), "y", "w", "x")
     x = [F.nanvl(F.get("x", F.lit(j)), F.lit(0.0)) for j in range(len(features))]
@@ -394,9 +405,13 @@ def fit(rows: DataFrame, features: list[str], members: dict[str, Boosted | Logis
     ).collect()  # fmt: skip  a row a split
     tests = rows.select(F.explode(F.array_union(F.coalesce("test", F.array().cast("array<int>")), "train")).alias("split")).distinct().collect()  # a row a split
     known, models = {r["split"]: r for r in stats}, []
+    named = [f"f{j}" for j in range(len(features))]
+    values = [F.when(~F.isnan(F.get("x", F.lit(j))), F.get("x", F.lit(j))).alias(f) for j, f in enumerate(named)]
+    trees = any(isinstance(m, Boosted) for m in members.values())
+    cuts = feature_cuts(used.select("split", *values), named, "split") if trees else {}
     for split in sorted({r["split"] for r in tests}):
         for name, member in members.items():
-            own = Fitted(member)
+            own = Fitted(member, cuts.get(split, [np.zeros(0)] * len(features)))
             columns = [at[f] for f in member.features]
             g = _Growth(split, name, own, columns)
             models.append(g)
@@ -414,7 +429,7 @@ def fit(rows: DataFrame, features: list[str], members: dict[str, Boosted | Logis
                 g.begin()
     while active := [m for m in models if not m.done]:
         found: dict[int, dict[int, dict]] = {}
-        for r in _best_cuts(_pass(rows, active, cuts), active).collect():  # a row for each model and pending node
+        for r in _best_cuts(_pass(rows, active, len(features)), active).collect():  # a row for each model and pending node
             found.setdefault(r["model"], {})[r["node"]] = r.asDict()
         for k, m in enumerate(active):
             own = found.get(k, {})
@@ -435,27 +450,26 @@ def fit(rows: DataFrame, features: list[str], members: dict[str, Boosted | Logis
                     m.done = True
             if not m.done and m.tree is not None:
                 m.grow({n: c for n, c in own.items() if n >= 0})
-    return {(m.split, m.name): m.fitted for m in models}, cuts
+    return {(m.split, m.name): m.fitted for m in models}
 
 
-def scores(rows: DataFrame, features: list[str], fitted: dict[tuple[int, str], Fitted], cuts: list[np.ndarray], roles: tuple[str, ...] = ("test",)) -> DataFrame:
+def scores(rows: DataFrame, features: list[str], fitted: dict[tuple[int, str], Fitted], roles: tuple[str, ...] = ("test",)) -> DataFrame:
     """split, id, role, y, and a probability column for every member, of every row in the splits that it has one of roles in."""
     names = list(dict.fromkeys(n for _, n in fitted))
     at = {f: j for j, f in enumerate(features)}
-    width = len(cuts)
+    width = len(features)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(2), np.float64, width)
-            bins = binned(x, cuts)
             for i, role in enumerate(roles):
                 lists = b.column(3 + i)
                 row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
                 split = lists.flatten().to_numpy(zero_copy_only=False)
                 for s in np.unique(split):
                     mine = row[split == s]
-                    p = [sigmoid(fitted[s, n].score(bins[mine], x[mine], [at[f] for f in fitted[s, n].member.features])) for n in names]
+                    p = [sigmoid(fitted[s, n].score(x[mine], [at[f] for f in fitted[s, n].member.features])) for n in names]
                     head = [pa.array(np.full(len(mine), s, np.int32)), b.column(0).take(pa.array(mine)), pa.array([role] * len(mine), pa.string()), b.column(1).take(pa.array(mine))]
                     yield pa.RecordBatch.from_arrays([*head, *(pa.array(v) for v in p)], ["split", "id", "role", "y", *names])
 
@@ -468,7 +482,6 @@ def members_by_split(rows: DataFrame, roles: DataFrame, members: dict[str, Boost
     weight. A written table."""
     features = list(dict.fromkeys(f for m in members.values() for f in m.features))
     ready = prepared(rows, features, roles, weight)
-    fitted, cuts = fit(ready, features, members)
-    out = written(scores(ready, features, fitted, cuts, ("test", *also)), "scores")
+    out = written(scores(ready, features, fit(ready, features, members), ("test", *also)), "scores")
     release(ready)
     return out
