@@ -89,28 +89,84 @@ def spread_book(pairs: DataFrame, ends: DataFrame, n: int, most: float) -> DataF
     return held.groupBy("date").agg(F.count("*").alias("pairs"), F.avg("r").alias("ret"))
 
 
+class SumTree:
+    """Weights with the sums of every WIDE of them, of every WIDE of those sums, and so on up to a single node."""
+
+    WIDE = 64
+
+    def __init__(self, weights):
+        import numpy as np
+
+        self.levels = [np.array(weights, float)]
+        while len(self.levels[-1]) > 1:
+            last = self.levels[-1]
+            padded = np.zeros(-(-len(last) // self.WIDE) * self.WIDE)
+            padded[: len(last)] = last
+            self.levels[-1] = padded
+            self.levels.append(padded.reshape(-1, self.WIDE).sum(1))
+
+    def set(self, at, weights) -> None:
+        """Replaces the weights at these places; sums above are added up anew, so that no error builds up."""
+        import numpy as np
+
+        self.levels[0][at] = weights
+        for below, above in zip(self.levels, self.levels[1:], strict=False):
+            at = np.unique(at // self.WIDE)
+            above[at] = below.reshape(-1, self.WIDE)[at].sum(1)
+
+    def find(self, share: float) -> int:
+        """The place where the running sum passes share (0 to 1) of all."""
+        import numpy as np
+
+        target, at = share * float(self.levels[-1][0]), 0
+        for level in self.levels[-2::-1]:
+            sums = np.cumsum(level[at * self.WIDE : (at + 1) * self.WIDE])
+            k = min(int(np.searchsorted(sums, target, "right")), int(np.searchsorted(sums, sums[-1], "left")))
+            target -= float(sums[k - 1]) if k else 0.0
+            at = at * self.WIDE + k
+        return at
+
+
+def sequence_of_draws(start, stop, seed: int):
+    """Places of as many labels (start and stop positions) as there are, each drawn with chances by its average uniqueness
+    among those drawn before.
+
+    A draw changes only the chances of labels that overlap the drawn one, and a sum tree over the labels finds the next,
+    so that a draw costs the overlapping labels and a few nodes instead of all labels."""
+    import numpy as np
+
+    a, b = np.asarray(start, np.int64), np.asarray(stop, np.int64)
+    a, b = a - a.min(), b - a.min()
+    rng = np.random.default_rng(seed)
+    order = np.argsort(a, kind="stable")
+    sorted_a, longest = a[order], int((b - a).max())
+    held = np.zeros(int(b.max()) + 1)
+    tree = SumTree(np.ones(len(a)))
+    drawn = np.empty(len(a), np.int64)
+    for k in range(len(a)):
+        i = tree.find(rng.random())
+        drawn[k] = i
+        held[a[i] : b[i] + 1] += 1
+        lo, hi = np.searchsorted(sorted_a, a[i] - longest), np.searchsorted(sorted_a, b[i], "right")
+        near = order[lo:hi]
+        near = near[b[near] >= a[i]]
+        first = int(a[near].min())
+        sums = np.concatenate(([0.0], np.cumsum(1 / (held[first : int(b[near].max()) + 1] + 1))))
+        tree.set(near, (sums[b[near] + 1 - first] - sums[a[near] - first]) / (b[near] + 1 - a[near]))
+    return drawn
+
+
 def sequential_draws(spans: DataFrame, seed: int, by: str = "symbol") -> DataFrame:
     """symbol, draw, id: as many labels of each symbol as it has, drawn with chances by their average uniqueness among those
     drawn before. spans: symbol, id, start, stop (positions).
 
     Every draw depends on those before it, so a symbol is a group of one task: meant for the labels of a strategy."""
-    import numpy as np
     import pandas as pd
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
-        a, b, ids = p["start"].to_numpy(np.int64), p["stop"].to_numpy(np.int64), p["id"].to_numpy()
-        a, b = a - a.min(), b - a.min()
-        rng = np.random.default_rng(abs(hash_of(f"{seed}|{p[by].iloc[0]}")))
-        held = np.zeros(int(b.max()) + 1)
-        drawn = []
-        for _ in range(len(p)):
-            sums = np.concatenate(([0.0], np.cumsum(1 / (held + 1))))
-            chance = (sums[b + 1] - sums[a]) / (b + 1 - a)
-            i = int(rng.choice(len(p), p=chance / chance.sum()))
-            held[a[i] : b[i] + 1] += 1
-            drawn.append(ids[i])
-        return pd.DataFrame({by: p[by].iloc[0], "draw": range(len(drawn)), "id": drawn})
+        drawn = sequence_of_draws(p["start"], p["stop"], abs(hash_of(f"{seed}|{p[by].iloc[0]}")))
+        return pd.DataFrame({by: p[by].iloc[0], "draw": range(len(p)), "id": p["id"].to_numpy()[drawn]})
 
     return spans.where("start is not null and stop >= start").groupBy(by).applyInPandas(run, f"{by} string, draw int, id long")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numbered, summed, upto
+from ..functions.normal import normal_cdf, normal_inverse
 
 EULER = 0.5772156649015329
 
@@ -43,6 +44,22 @@ def deflated_sharpe(sr: float, n: int, skew: float, kurtosis: float, variance: f
     return probabilistic_sharpe(sr, expected_best_sharpe(variance, trials), n, skew, kurtosis)
 
 
+def probabilistic_sharpe_of(sr: Column, benchmark: Column, n: Column, skew: Column, kurtosis: Column) -> Column:
+    """probabilistic_sharpe() of columns; missing where one is."""
+    spread = F.sqrt(F.greatest(F.lit(1e-18), 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr))
+    return normal_cdf((sr - benchmark) * F.sqrt(n - 1) / spread)
+
+
+def expected_best_sharpe_of(variance: Column, trials: Column) -> Column:
+    """expected_best_sharpe() of columns: 0 for a single trial."""
+    best = (1 - EULER) * normal_inverse(1 - 1 / trials) + EULER * normal_inverse(1 - 1 / (trials * math.e))
+    return F.when(trials <= 1, 0.0).otherwise(F.sqrt(variance) * best)
+
+
+def deflated_sharpe_of(sr: Column, n: Column, skew: Column, kurtosis: Column, variance: Column, trials: Column) -> Column:
+    return probabilistic_sharpe_of(sr, expected_best_sharpe_of(variance, trials), n, skew, kurtosis)
+
+
 def profit_factor(x: str) -> Column:
     return F.try_divide(F.sum(F.when(F.col(x) > 0, F.col(x)).otherwise(0.0)), -F.sum(F.when(F.col(x) < 0, F.col(x)).otherwise(0.0)))
 

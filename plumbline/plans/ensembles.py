@@ -10,6 +10,8 @@ from ..operators import ensemble as E
 from ..operators import models as M
 from ..operators import validation as V
 from ..sources import views
+from ..sources.runs import RunLog
+from ..sources.shared import new_path
 from .catalog import PANEL, SCORES, query
 from .cross import RET
 from .features import r6
@@ -123,10 +125,31 @@ def grid_verdict(spark, d):
     return g.agg(F.max_by("symbol", "s").alias("best"), F.round(F.max("s"), 6).alias("ratio"), F.count("*").alias("trials"), (F.max("s") > 0.2).alias("passes"))
 
 
+NAMES = f"WITH {PANEL}, {RET}, g AS (SELECT symbol, avg(ret) / stddev_samp(ret) AS s FROM r GROUP BY symbol)"
+
+
+def _trials(spark, d):
+    """A log of the ratios of all names in order, each a run: made anew below the shared folder."""
+    g = views.panel(spark, d).withColumn("ret", C.daily_return()).groupBy("symbol").agg(V.sharpe("ret").alias("s"))
+    log = RunLog(spark, new_path(spark, "runs"))
+    for r in g.orderBy("symbol").collect():  # a row a configuration
+        log.append(r["symbol"], {"symbol": r["symbol"]}, {"sharpe": r["s"]} if r["s"] is not None else {})
+    return log
+
+
+@query("s36_runs", f"{NAMES} SELECT row_number() OVER (ORDER BY symbol) AS run, symbol AS name, round(s, 6) AS sharpe FROM g")
+def runs(spark, d):
+    return _trials(spark, d).runs().select("run", "name", F.round(F.col("metrics")["sharpe"], 6).alias("sharpe"))
+
+
+@query("s36_trial_count", f"{NAMES} SELECT count(*) AS trials, round(var_samp(s), 6) AS variance FROM g")
+def trial_count(spark, d):
+    return _trials(spark, d).trials("sharpe").select("trials", F.round("variance", 6).alias("variance"))
+
+
 @query("r36_trials_and_deflation")
 def trials_and_deflation(spark, d):
-    """Deflated ratio of the active book at the number and variance of the trials made so far (the names)."""
-    t = V.trial_stats(views.panel(spark, d).withColumn("ret", C.daily_return()).groupBy("symbol").agg(V.sharpe("ret").alias("sharpe"))).first()  # one row
-    m = V.moments(_active(spark, d), "net").first()  # one row
-    dsr = V.deflated_sharpe(m["sharpe"], m["n"], m["skew"], m["kurtosis"], t["variance"], t["trials"])
-    return spark.createDataFrame([(t["trials"], float(m["sharpe"]), float(dsr))], "trials long, sharpe double, deflated double")
+    """Deflated ratio of the active book at the number and variance of the trials in the log of runs."""
+    m = V.moments(_active(spark, d), "net").join(F.broadcast(_trials(spark, d).trials("sharpe")))  # one row each
+    dsr = V.deflated_sharpe_of(*(F.col(c) for c in ("sharpe", "n", "skew", "kurtosis", "variance", "trials")))
+    return m.select("trials", "sharpe", dsr.alias("deflated"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..functions.normal import normal_cdf_sql, normal_inverse_sql
 from ..operators import bars as B
 from ..operators import cross_section as C
 from ..operators import validation as V
@@ -34,17 +37,24 @@ def moments(spark, d):
     return m.select("symbol", "n", *r6(sharpe=F.col("sharpe"), skew=F.col("skew"), kurtosis=F.col("kurtosis")))
 
 
-@query("a14_deflated_sharpe")
+BEST = f"sqrt(v) * ({1 - V.EULER}::DOUBLE * ({normal_inverse_sql('1 - 1 / k::DOUBLE')}) + {V.EULER}::DOUBLE * ({normal_inverse_sql(f'1 - 1 / (k * {math.e}::DOUBLE)')}))"
+SPREAD = "sqrt(greatest(1e-18::DOUBLE, 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr))"
+
+
+@query(
+    "a14_deflated_sharpe",
+    f"""WITH {R}, m AS (SELECT symbol, avg(ret) AS m, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr FROM r GROUP BY symbol),
+    x AS (SELECT symbol, any_value(n) AS n, any_value(sr) AS sr, avg(pow(ret - m, 3)) / pow(avg(pow(ret - m, 2)), 1.5) AS skew, avg(pow(ret - m, 4)) / pow(avg(pow(ret - m, 2)), 2) AS kurtosis FROM r JOIN m USING (symbol) WHERE ret IS NOT NULL GROUP BY symbol),
+    t AS (SELECT count(*) AS k, var_samp(sr) AS v FROM x), z AS (SELECT symbol, sr * sqrt(n - 1) / {SPREAD} AS p, (sr - {BEST}) * sqrt(n - 1) / {SPREAD} AS d FROM x, t)
+    SELECT symbol, round({normal_cdf_sql("p")}, 6) AS psr, round({normal_cdf_sql("d")}, 6) AS dsr FROM z""",
+)
 def deflated_sharpe(spark, d):
     """One row a symbol: the trials are the symbols themselves."""
-    rows = V.moments(_returns(spark, d), "ret", ("symbol",)).orderBy("symbol").collect()  # a row for each strategy
-    mean = sum(r["sharpe"] for r in rows) / len(rows)
-    var = sum((r["sharpe"] - mean) ** 2 for r in rows) / max(1, len(rows) - 1)
-    out = [
-        (r["symbol"], V.probabilistic_sharpe(r["sharpe"], 0.0, r["n"], r["skew"], r["kurtosis"]), V.deflated_sharpe(r["sharpe"], r["n"], r["skew"], r["kurtosis"], var, len(rows)))
-        for r in rows
-    ]
-    return spark.createDataFrame(out, "symbol string, psr double, dsr double")
+    m = V.moments(_returns(spark, d), "ret", ("symbol",))
+    x = m.join(F.broadcast(V.trial_stats(m)))  # one row
+    own = [F.col(c) for c in ("sharpe", "n", "skew", "kurtosis")]
+    psr = V.probabilistic_sharpe_of(own[0], F.lit(0.0), *own[1:])
+    return x.select("symbol", *r6(psr=psr, dsr=V.deflated_sharpe_of(*own, F.col("variance"), F.col("trials"))))
 
 
 @query(
@@ -135,10 +145,8 @@ def purged_folds(spark, d):
     SELECT round(quantile_cont(s, 0.5), 6) AS median, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(min(s), 6) AS worst, round(avg((s < 0)::INT), 6) AS negative, count(*) AS paths FROM p""",
 )
 def combinatorial_paths(spark, d):
-    from pyspark.sql import Window
-
     r = _returns(spark, d).where("ret is not null")
-    g = r.select("ret", (F.ntile(4).over(Window.partitionBy(F.lit(0)).orderBy("ts", "symbol")) - 1).alias("grp"))
+    g = V.dealt_groups(r.select("ts", "symbol", "ret"), 4, ["ts", "symbol"])
     met = g.join(V.combinatorial_splits(spark, 4, 2), "grp").select("path", (F.col("ret") * (1 + F.col("split") / 10.0)).alias("ret"))
     s = V.path_distribution(met)
     return s.select(*r6(**{c: F.col(c) for c in ("median", "mean", "std", "worst", "negative")}), "paths")
