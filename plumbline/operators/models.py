@@ -132,12 +132,13 @@ def calibrate(df: DataFrame, blocks: DataFrame, x: str = "p", name: str = "calib
     return keyed.join(found, [*by, "_x"], "left").select(*df.columns, name)
 
 
-def rank_against(scores: DataFrame, reference: DataFrame, x: str = "p", by: tuple[str, ...] = (), name: str = "share") -> DataFrame:
+def rank_against(scores: DataFrame, reference: DataFrame, x: str = "p", by: tuple[str, ...] = (), name: str = "share", counted: str | None = None) -> DataFrame:
     """Adds name: the part of reference values (of the same group by) that are at most x. Both are sorted together by value
-    counts."""
-    per = reference.groupBy(*by, x).agg(F.count("*").alias("n"))
+    counts; counted is a column of the reference that says how often a row counts (once if not given)."""
+    reference = reference.withColumn("_k", F.col(counted).cast("long") if counted else F.lit(1).cast("long"))
+    per = reference.groupBy(*by, x).agg(F.sum("_k").alias("n"))
     values = per.select(*by, x, "n").unionByName(scores.select(*by, x).distinct().withColumn("n", F.lit(0).cast("long"))).groupBy(*by, x).agg(F.sum("n").alias("n"))
-    total = reference.groupBy(*by).agg(F.count(x).alias("_all"))  # a row a group
+    total = reference.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum("_k").alias("_all"))  # a row a group
     upto = summed(values, [x], "n", "_upto", by)
     ranked = upto.join(total, list(by)) if by else upto.join(F.broadcast(total))
     return scores.join(ranked.select(*by, x, F.try_divide("_upto", F.col("_all").cast("double")).alias(name)), [*by, x])

@@ -9,8 +9,9 @@ from ..operators import boosting as G
 from ..operators import cross_section as C
 from ..operators import evaluation as E
 from ..operators import validation as V
+from ..operators.gated_model import round_trip, train_final
 from ..sources import views
-from ..sources.shared import written
+from ..sources.shared import new_path, written
 from .catalog import query
 from .features import r6
 
@@ -79,3 +80,14 @@ def ensemble_paths(spark, d):
     rows = labelled_panel(spark, d)
     out = E.ensemble_paths(rows, E.members_from(CONFIG, FEATURES), 4, 2, 0.01, 0.001, regimes=(["vol", "mom"], 2))
     return out.groupBy("path").agg(F.count("*").alias("n"), *r6(mean=F.avg("ret"), sharpe=V.sharpe("ret"), held=F.avg(F.abs("position"))))
+
+
+@query("m14_gated_positions")
+def gated_positions(spark, d):
+    """Positions of every nation and month by a model that is trained, saved below the shared folder and loaded again; worst
+    is the largest difference between the two models' positions."""
+    rows = labelled_panel(spark, d)
+    members = {k: v for k, v in E.members_from(CONFIG, FEATURES).items() if k != "leaf"}
+    model = train_final(rows, E.folds_of(rows, 3, 0.01), members, regimes=(["vol", "mom"], 2), cost=0.001)
+    loaded, worst = round_trip(model, new_path(spark, "model"), rows)
+    return loaded.transform(rows).select("id", *r6(p=F.col("p"), position=F.col("position")), "gate", F.lit(worst).alias("worst"))
