@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +28,18 @@ def polynomial(x: Column, down: tuple[float, ...]) -> Column:
     return out
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is computed once however often f names it: nested polynomials of a long expression would grow too large
+    to compile."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normal_cdf(x: Column) -> Column:
     """The standard normal distribution's probability up to x; missing stays missing."""
+    return bound(x, _cdf)
+
+
+def _cdf(x: Column) -> Column:
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * polynomial(a, HART_UP) / polynomial(a, HART_DOWN)
@@ -38,13 +50,15 @@ def normal_cdf(x: Column) -> Column:
 
 def normal_inverse(p: Column) -> Column:
     """The x up to which the standard normal distribution has probability p; missing unless 0 < p < 1."""
+    return bound(p, _inverse)
+
+
+def _inverse(p: Column) -> Column:
     q = p - 0.5
-    c = 0.180625 - q * q
-    centre = q * polynomial(c, CENTRE_UP) / polynomial(c, CENTRE_DOWN)
+    ratio = lambda up, down: lambda x: polynomial(x, up) / polynomial(x, down)
+    centre = q * bound(0.180625 - q * q, ratio(CENTRE_UP, CENTRE_DOWN))
     side = F.when(q <= 0, p).otherwise(1 - p)
-    r = F.sqrt(-F.ln(side))
-    tail, far = polynomial(r - 1.6, TAIL_UP) / polynomial(r - 1.6, TAIL_DOWN), polynomial(r - 5.0, FAR_UP) / polynomial(r - 5.0, FAR_DOWN)
-    size = F.when(r <= 5, tail).otherwise(far)
+    size = bound(F.sqrt(-F.ln(side)), lambda r: F.when(r <= 5, bound(r - 1.6, ratio(TAIL_UP, TAIL_DOWN))).otherwise(bound(r - 5.0, ratio(FAR_UP, FAR_DOWN))))
     value = F.when(F.abs(q) <= 0.425, centre).when(q < 0, -size).otherwise(size)
     return F.when((p > 0) & (p < 1), value)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import normal_cdf, polynomial
+from ..functions.normal import bound, normal_cdf, polynomial
 from .cross_section import correlations
 from .folds import frac_diff
 from .relations import log_price
@@ -34,6 +34,10 @@ SURFACES = {
 
 def p_value(statistic: Column, trend: str = "c", of: int = 1) -> Column:
     """The p-value of a unit-root statistic; missing stays missing."""
+    return bound(statistic, lambda t: _p_value(t, trend, of))
+
+
+def _p_value(statistic: Column, trend: str, of: int) -> Column:
     least, turn, most, low, high = SURFACES[trend, of]
     curve = F.when(statistic <= turn, polynomial(statistic, low[::-1])).otherwise(polynomial(statistic, high[::-1]))
     p = F.when(statistic < least, 0.0).when(statistic > most, 1.0) if math.isfinite(most) else F.when(statistic < least, 0.0)

@@ -78,14 +78,6 @@ def validation_report(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts).select("part", F.round("value", 6).alias("value"), "n")
 
 
-@query("r29_synthetic_control", "SELECT 40 AS names, true AS no_edge")
-def synthetic_control(spark, d):
-    """Following the last return's sign earns nothing on driftless walks: the mean over names is within four errors of 0."""
-    b = X.random_walk_bars(spark, [f"S{i}" for i in range(40)], ["2024-01-01", "2024-01-02"], 375, 0.001, 11).withColumn("ret", B.log_return())
-    gain = b.withColumn("g", F.signum(F.lag("ret").over(B.series())) * F.col("ret")).where("g is not null").groupBy("symbol").agg(F.avg("g").alias("g"))
-    return gain.agg(F.count("*").cast("int").alias("names"), (F.abs(F.avg("g")) < 4 * F.stddev_samp("g") / F.sqrt(F.count("g"))).alias("no_edge"))
-
-
 @query(
     "o02_members_from_text",
     "WITH m AS (SELECT o_custkey AS symbol, min(o_orderdate)::DATE AS a, CASE WHEN count(*) > 2 THEN max(o_orderdate)::DATE END AS b FROM orders GROUP BY o_custkey) SELECT symbol::VARCHAR AS symbol FROM m WHERE a <= DATE '1999-03-31' AND (b IS NULL OR DATE '1999-03-31' <= b)",

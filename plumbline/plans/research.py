@@ -380,15 +380,3 @@ def review_log(spark, d):
 def redacted_keys(spark, d):
     m = F.create_map(F.lit("Api_Token"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
     return views.table(spark, d, "events").select("event_id", X.redacted(m).alias("m")).select("event_id", F.col("m")["Api_Token"].alias("token"), F.col("m")["kind"].alias("kind"))
-
-
-@query("s34_random_walk", "SELECT 'S' || n_nationkey AS symbol, 750 AS bars, TIMESTAMP '2024-01-01 09:15:00' AS first, TIMESTAMP '2024-01-02 15:29:00' AS last, true AS ordered, true AS near FROM nation")
-def random_walk(spark, d):
-    """Two sessions a nation; only what doesn't depend on the deviates is compared: order of prices and reach of the walk."""
-    names = [f"S{i}" for i in range(views.table(spark, d, "nation").count())]
-    b = X.random_walk_bars(spark, names, ["2024-01-01", "2024-01-02"], 375, 0.001, 3)
-    return b.groupBy("symbol").agg(
-        F.count("*").cast("int").alias("bars"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-        F.every((F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") > 0)).alias("ordered"),
-        F.every(F.abs(F.ln(F.col("close") / 100)) < 0.2).alias("near"),
-    )
