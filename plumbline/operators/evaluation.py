@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import release, written
 from . import boosting as G
 from . import models as M
-from .ensemble import gated_position, quality
+from .ensemble import quality
 from .validation import combinatorial_splits, dealt_groups, purged_combinations, purged_folds
 
 Members = dict[str, G.Boosted | G.Logistic]
@@ -149,13 +149,13 @@ def gates_by(rows: DataFrame, x: list[str], gain: str, k: int, by: str, rounds:
 
 
 def ensemble_paths(
-    rows: DataFrame, members: Members, groups: int, test: int, embargo: float, cost: float = 0.0, weight: str | None = None, method: str = "rank", regimes: tuple[list[str], int] | None = None
+    rows: DataFrame, members: Members, groups: int, test: int, embargo: float, cost: float = 0.0, weight: str | None = None, method: str = "rank", regimes: tuple[list[str], int] | None = None, position: Callable[[Column], Column] = lambda p: 2 * p - 1
 ) -> DataFrame:
     """path, split, id, position, ret: net returns of the ensemble on the paths of combinatorial purged cross-validation.
 
     rows: id (positions 0, 1, ... in time), start, stop, y, fwd (return of a unit long position), the members' features, and
     those of regimes (columns, number), if positions are gated. In every split members, blend, calibration, regimes and
-    gates are fitted on its training rows alone; the test rows' positions, 2 p - 1 times the gate, earn fwd less cost times
+    gates are fitted on its training rows alone; the test rows' positions (of p, times the gate) earn fwd less cost times
     their size. All splits are fitted in the same passes. A written table."""
     roles = written(purged_combinations(rows.select(F.col("id").alias("pos"), "start", "stop"), groups, test, embargo).withColumnRenamed("pos", "id"), "roles")
     s = G.members_by_split(rows, roles, members, weight, also=("train",))
@@ -163,8 +163,8 @@ def ensemble_paths(
     both = written(blended(s, list(members), train, ("split",), method), "blended")
     p = M.calibrate(both, M.isotonic_blocks(train(both), "blend", by=("split",)), "blend", "p", ("split",))
     own = p.select("split", "id", "role", "p").join(rows.select("id", "fwd", *(regimes[0] if regimes else [])), "id")
-    position = gated_position(F.col("p"), F.lit(1.0))
-    own = own.withColumns({"position": position, "gain": position * F.col("fwd") - F.abs(position) * cost})
+    taken = position(F.col("p"))
+    own = own.withColumns({"position": taken, "gain": taken * F.col("fwd") - F.abs(taken) * cost})
     if regimes:
         own = gates_by(written(own, "positions"), *regimes[:1], "gain", regimes[1], "split").withColumn("position", F.col("position") * F.col("gate"))
     at = dealt_groups(rows.select("id"), groups, ["id"])

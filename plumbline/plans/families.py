@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numbered
 from ..operators import boosting as G
+from ..operators import complete as P
 from ..operators import cross_section as C
 from ..operators import evaluation as E
 from ..operators import validation as V
@@ -91,3 +92,20 @@ def gated_positions(spark, d):
     model = train_final(rows, E.folds_of(rows, 3, 0.01), members, regimes=(["vol", "mom"], 2), cost=0.001)
     loaded, worst = round_trip(model, new_path(spark, "model"), rows)
     return loaded.transform(rows).select("id", *r6(p=F.col("p"), position=F.col("position")), "gate", F.lit(worst).alias("worst"))
+
+
+@query("o15_feature_matrix")
+def feature_matrix(spark, d):
+    """All columns of the matrix of every bar."""
+    out = P.feature_matrix(views.bars(spark, d))
+    return out.select("symbol", "ts", *r6(**{c: F.col(c) for c in (*P.FEATURES, "vol_regime", "trend")}))
+
+
+@query("o15_arms")
+def arms(spark, d):
+    """The direct and the meta strategy from bars to the distribution of their paths."""
+    b = views.bars(spark, d)
+    rows = P.pooled(P.labelled_rows(b, P.feature_matrix(b), 0.5, 0.5, 0.05, 10), 20)
+    members = {"level": G.Boosted(P.FEATURES, rounds=3, depth=2, rate=0.3), "line": G.Logistic(P.FEATURES, rounds=5, rate=0.2)}
+    out = P.arms(rows, members, 4, 2, 0.01, 0.001)
+    return out.select("arm", "paths", *r6(**{c: F.col(c) for c in ("median", "mean", "std", "worst", "negative")}))
