@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import free, materialize, table
 from .textbytes import NON_SPACE, Hashes, class_table, counts, mix, pieces
@@ -34,6 +33,8 @@ RULES = {
 }
 #: Groups up to which the table of limits is broadcast (some 100 bytes each); beyond that it is a shuffle join.
 BROADCAST_GROUPS = 10_000
+#: Rows of languages and rules up to which their sketches are broadcast (some 20 kB each).
+BROADCAST_LANGUAGES = 1000
 
 
 def _piece_measures(p) -> list[np.ndarray]:
@@ -96,32 +97,55 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "rule", bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _bins(n: Column) -> Column:
+    return F.collect_list(F.struct("bin", n.cast("double").alias("n")))
+
+
 def merged(sketch: DataFrame) -> DataFrame:
-    """lang, source, rule, bin, n (double): every group's sketch and, merged into it at the weight of PRIOR documents,
-    that of its language, into which that of all documents is merged the same way."""
+    """lang, source, rule, sketch (ascending bins with their n) of every group: its own bins and, at the weight of PRIOR
+    documents, those of its language, into which those of all documents are merged the same way.
+
+    A sketch is an array of some 1,300 bins at most, so a language's is one row a rule, and a group's merges with it within
+    a row: rows grow with the groups, whatever bins their languages have."""
     held = sketch.groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
-    total = held.groupBy("rule", "bin").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("rule")))
-    total = total.select(F.col("rule").alias("_rule"), "bin", (PRIOR * F.col("n") / F.col("all")).alias("n"))
-    langs = held.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
-    prior = langs.select("lang", "rule").distinct().join(total, F.col("rule") == F.col("_rule")).select("lang", "rule", "bin", "n")
-    langs = langs.withColumn("n", F.col("n").cast("double")).union(prior).groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
-    langs = langs.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    langs = langs.select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), "bin", (PRIOR * F.col("n") / F.col("all")).alias("n"))
-    groups = held.select("lang", "source", "rule").distinct()
-    prior = groups.join(langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule"))).select("lang", "source", "rule", "bin", "n")
-    return held.withColumn("n", F.col("n").cast("double")).union(prior).groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
+
+    def weighed(x: Column) -> Column:
+        """x at the weight of PRIOR documents."""
+        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v["n"])
+        return F.transform(x, lambda v: F.struct(v["bin"].alias("bin"), (PRIOR * v["n"] / total).alias("n")))
+
+    total = held.groupBy("rule", "bin").agg(F.sum("n").alias("n")).groupBy("rule").agg(F.array_sort(_bins(F.col("n"))).alias("whole"))
+    langs = held.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")).groupBy("lang", "rule").agg(_bins(F.col("n")).alias("own"))
+    langs = langs.join(F.broadcast(total), "rule").select(  # a row a rule
+        F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), weighed(F.array_sort(F.concat("own", weighed(F.col("whole"))))).alias("prior")
+    )
+    langs = materialize(langs, "languages")
+    few = langs.count() <= BROADCAST_LANGUAGES
+    groups = held.groupBy("lang", "source", "rule").agg(_bins(F.col("n")).alias("own"))
+    met = groups.join(F.broadcast(langs) if few else langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule")))
+    return met.select("lang", "source", "rule", F.array_sort(F.concat("own", "prior")).alias("sketch"))
+
+
+def quartiles(sketch: Column) -> Column:
+    """Struct of q1, q2, q3 of a sketch: the values of the first bins that reach a quarter, half and three quarters."""
+    all_ = F.aggregate(sketch, F.lit(0.0), lambda a, v: a + v["n"])
+
+    def step(a: Column, v: Column) -> Column:
+        upto = a["upto"] + v["n"]
+        reached = (F.coalesce(a[f"b{i}"], F.when(upto >= a["all"] * i / 4, v["bin"])).alias(f"b{i}") for i in (1, 2, 3))
+        return F.struct(a["all"].alias("all"), upto.alias("upto"), *reached)
+
+    start = F.struct(all_.alias("all"), F.lit(0.0).alias("upto"), *(F.lit(None).cast("int").alias(f"b{i}") for i in (1, 2, 3)))
+    found = F.aggregate(sketch, start, step)
+    value = lambda b: F.when(b == -10_000, 0.0).otherwise(F.pow(F.lit(GAMMA), b - 0.5))
+    return F.struct(*(value(found[f"b{i}"]).alias(f"q{i}") for i in (1, 2, 3)))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
     """lang, source, limits (rule to low, high) for every group of sketch (lang, source, rule, bin, n): the quartiles of
     its merged() sketch, widened by REACH times their distance from the median. A null language or source is a group
     of its own, one document makes a group, no sketch gives no limits."""
-    w = Window.partitionBy("lang", "source", "rule")
-    ranked = merged(sketch).withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("all", F.max("upto").over(w))
-    value = F.when(F.col("bin") == -10_000, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin") - 0.5))
-    quartile = {q: F.min(F.when(F.col("upto") >= F.col("all") * p, value)) for q, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
-    found = ranked.groupBy("lang", "source", "rule").agg(*(v.alias(k) for k, v in quartile.items()))
+    found = merged(sketch).select("lang", "source", "rule", quartiles(F.col("sketch")).alias("q")).select("lang", "source", "rule", "q.*")
     least = F.create_map(*(x for r, (_, spread, _) in RULES.items() for x in (F.lit(r), F.lit(spread))))[F.col("rule")]
     both = F.create_map(*(x for r, (_, _, b) in RULES.items() for x in (F.lit(r), F.lit(b))))[F.col("rule")]
     found = found.select(
