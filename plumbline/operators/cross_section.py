@@ -22,6 +22,12 @@ def centred_rank(x: str | Column) -> Column:
     return rank_share(x, on_date()) - 0.5
 
 
+def attached(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds to panel (date, symbol, sector) for every column its centred rank among its date's names (x_rank) and its score among
+    those of its sector (x_z). All columns share the two groupings, so there is one shuffle by date."""
+    return panel.withColumns({f"{c}_rank": centred_rank(c) for c in columns} | {f"{c}_z": sector_zscore(c) for c in columns})
+
+
 def sector_zscore(x: str | Column) -> Column:
     """Score against the date's sector; missing in a sector of one name or without spread."""
     w = Window.partitionBy("date", "sector")

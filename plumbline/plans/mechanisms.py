@@ -11,6 +11,7 @@ from ..functions.normal import normal_cdf_sql, normal_inverse_sql
 from ..operators import bars as B
 from ..operators import cross_section as C
 from ..operators import events as E
+from ..operators import factor_gate as G
 from ..operators import mechanisms as X
 from ..operators import validation as V
 from ..sources import exchange, views
@@ -122,3 +123,11 @@ def robustness(spark, d):
     out = X.battery(base, reduce(DataFrame.unionByName, scores), "lag 1", X.shuffled_control(r, _follow, 20), reduce(DataFrame.unionByName, noisy), 20, limits, 5)
     return out.select("part", *r6(value=F.col("value")), "limit", "passes")
 
+
+
+@query("o14_composite_gate")
+def composite_gate(spark, d):
+    """Three combiners of five factors through the same books, costs, folds and limits."""
+    combiners = {"equal": dict.fromkeys(G.FACTORS, 1.0), "weighted": {"momentum": 2.0, "low_vol": 1.0, "reversal": 0.5}, "momentum": {"momentum": 1.0}}
+    out = G.verdicts(views.panel(spark, d), combiners)
+    return out.select("combiner", "rebalances", *r6(**{c: F.col(c) for c in ("median", "worst", "negative", "deflated", "t", "turnover", "max_sector")}), "failed", "passes")

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import backtest
-from ..operators import bars as B
 from ..operators import cross_section as C
 from ..operators import hygiene as H
 from ..operators import portfolio as P

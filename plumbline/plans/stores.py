@@ -12,14 +12,15 @@ from ..operators import joins
 from ..operators import microstructure as X
 from ..operators import validation as V
 from ..sources import archive, views
-from ..sources.shared import new_path, shared_dir
+from ..sources.shared import new_path
 from ..streaming import counts as K
 from ..streaming.bars import hot_window, run_once
 from ..streaming.sinks import MergedStore, depth_store, reaction_store
 from .catalog import BARS, PANEL, query
-from .cross import RET
+from .cross import RET, rank_sql
 from .details import BOOK, _book
 from .features import r6
+from .streams import _checkpoint
 
 HALF = "2024-01-15"
 
@@ -141,6 +142,24 @@ def checked_sectors(spark, d):
     return joins.checked_lookup(panel.select("date", "symbol"), listed, ["symbol"]).select("date", "symbol", "sector")
 
 
+@query("s22_instrument_tokens", "SELECT o_orderkey AS row, c_custkey AS token FROM orders JOIN customer ON o_custkey = c_custkey")
+def instrument_tokens(spark, d):
+    """The token of every order's instrument, looked up by segment and name; an unlisted instrument would be an error."""
+    c = views.table(spark, d, "customer").select(F.col("c_mktsegment").alias("exchange"), F.col("c_name").alias("symbol"), F.col("c_custkey").alias("token"))
+    o = views.table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("token")).select(F.col("o_orderkey").alias("row"), "exchange", "symbol")
+    return joins.checked_lookup(o, c, ["exchange", "symbol"]).select("row", "token")
+
+
+@query(
+    "c06_attached",
+    f"""WITH {PANEL} SELECT date, symbol, round({rank_sql("close")} - 0.5, 6) AS close_rank, round({rank_sql("volume")} - 0.5, 6) AS volume_rank,
+    round((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 6) AS close_z, round((volume - avg(volume) OVER w) / nullif(stddev_samp(volume) OVER w, 0), 6) AS volume_z FROM panel WINDOW w AS (PARTITION BY date, sector)""",
+)
+def attached(spark, d):
+    out = C.attached(views.panel(spark, d), ["close", "volume"])
+    return out.select("date", "symbol", *r6(**{c: F.col(c) for c in ("close_rank", "volume_rank", "close_z", "volume_z")}))
+
+
 BEST = f"sqrt(v) * ({1 - V.EULER}::DOUBLE * ({normal_inverse_sql('1 - 1 / k::DOUBLE')}) + {V.EULER}::DOUBLE * ({normal_inverse_sql('1 - 1 / (k * 2.718281828459045::DOUBLE)')}))"
 
 
@@ -158,10 +177,6 @@ def expected_best(spark, d):
 
 # --- streams
 
-def _checkpoint(spark):
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark, d):
     return spark.readStream.schema(views.table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
 

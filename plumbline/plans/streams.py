@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import views
+from ..sources.shared import shared_dir
 from ..streaming.bars import run_once, stream_bars
 from .catalog import BARS, query
 
 
 def _checkpoint(spark) -> str:
-    """A folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("t01_stream_bars", f"WITH {BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
