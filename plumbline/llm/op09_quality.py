@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,15 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "rule", bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is computed once and not for every element that f visits."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _total(sketch: Column) -> Column:
+    return F.aggregate(sketch, F.lit(0.0), lambda a, v: a + v["n"])
+
+
 def _bins(n: Column) -> Column:
     return F.collect_list(F.struct("bin", n.cast("double").alias("n")))
 
@@ -111,15 +121,14 @@ def merged(sketch: DataFrame) -> DataFrame:
 
     def weighed(x: Column) -> Column:
         """x at the weight of PRIOR documents."""
-        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v["n"])
-        return F.transform(x, lambda v: F.struct(v["bin"].alias("bin"), (PRIOR * v["n"] / total).alias("n")))
+        each = lambda all_: F.transform(x, lambda v: F.struct(v["bin"].alias("bin"), (PRIOR * v["n"] / all_).alias("n")))
+        return _once(_total(x), each)
 
     total = held.groupBy("rule", "bin").agg(F.sum("n").alias("n")).groupBy("rule").agg(F.array_sort(_bins(F.col("n"))).alias("whole"))
+    total = materialize(total.select("rule", weighed(F.col("whole")).alias("whole")), "whole")
     langs = held.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")).groupBy("lang", "rule").agg(_bins(F.col("n")).alias("own"))
-    langs = langs.join(F.broadcast(total), "rule").select(  # a row a rule
-        F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), weighed(F.array_sort(F.concat("own", weighed(F.col("whole"))))).alias("prior")
-    )
-    langs = materialize(langs, "languages")
+    langs = langs.join(F.broadcast(total), "rule").select("lang", "rule", F.array_sort(F.concat("own", "whole")).alias("both"))  # a row a rule
+    langs = materialize(langs.select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), weighed(F.col("both")).alias("prior")), "languages")
     few = langs.count() <= BROADCAST_LANGUAGES
     groups = held.groupBy("lang", "source", "rule").agg(_bins(F.col("n")).alias("own"))
     met = groups.join(F.broadcast(langs) if few else langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule")))
@@ -128,17 +137,15 @@ def merged(sketch: DataFrame) -> DataFrame:
 
 def quartiles(sketch: Column) -> Column:
     """Struct of q1, q2, q3 of a sketch: the values of the first bins that reach a quarter, half and three quarters."""
-    all_ = F.aggregate(sketch, F.lit(0.0), lambda a, v: a + v["n"])
 
     def step(a: Column, v: Column) -> Column:
         upto = a["upto"] + v["n"]
         reached = (F.coalesce(a[f"b{i}"], F.when(upto >= a["all"] * i / 4, v["bin"])).alias(f"b{i}") for i in (1, 2, 3))
         return F.struct(a["all"].alias("all"), upto.alias("upto"), *reached)
 
-    start = F.struct(all_.alias("all"), F.lit(0.0).alias("upto"), *(F.lit(None).cast("int").alias(f"b{i}") for i in (1, 2, 3)))
-    found = F.aggregate(sketch, start, step)
+    start = F.struct(_total(sketch).alias("all"), F.lit(0.0).alias("upto"), *(F.lit(None).cast("int").alias(f"b{i}") for i in (1, 2, 3)))
     value = lambda b: F.when(b == -10_000, 0.0).otherwise(F.pow(F.lit(GAMMA), b - 0.5))
-    return F.struct(*(value(found[f"b{i}"]).alias(f"q{i}") for i in (1, 2, 3)))
+    return _once(F.aggregate(sketch, start, step), lambda found: F.struct(*(value(found[f"b{i}"]).alias(f"q{i}") for i in (1, 2, 3))))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
