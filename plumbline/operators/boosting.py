@@ -369,13 +369,12 @@ def _pass(rows: DataFrame, models: list[_Growth], width: int) -> DataFrame:
 def _best_cuts(sums: DataFrame, models: list[_Growth]) -> DataFrame:
     """A row for each model and node: g, h, n, and feature, cut, gain, gl, hl of the cut that gains most (ties to the first
     feature, then the lowest cut), missing if none is allowed; for other nodes the sums of d as an array."""
-    spark = sums.sparkSession
-    known = [(k, float(m.l1), float(m.l2), float(m.least_gain), m.least_rows) for k, m in enumerate(g.fitted.member for g in models) if isinstance(m, Boosted)]
-    limits = spark.createDataFrame(known or [(-1, 0.0, 0.0, 0.0, 0)], "model int, l1 double, l2 double, least_gain double, least_rows long")
+    members = [g.fitted.member for g in models]
+    limit = lambda name, kind: F.get(F.array(*(F.lit(kind(getattr(m, name, 0))) for m in members)), F.col("model"))
+    held = {"l1": limit("l1", float), "l2": limit("l2", float), "least_gain": limit("least_gain", float), "least_rows": limit("least_rows", int)}
     w = Window.partitionBy("model", "node", "feature")
     upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    trees = sums.join(F.broadcast(limits), "model", "left")
-    trees = trees.withColumns({f"{c}l": F.sum(c).over(upto) for c in "ghn"} | {f"{c}t": F.sum(c).over(w) for c in "ghn"})
+    trees = sums.withColumns(held).withColumns({f"{c}l": F.sum(c).over(upto) for c in "ghn"} | {f"{c}t": F.sum(c).over(w) for c in "ghn"})
 
     def worth(g: Column, h: Column) -> Column:
         g = F.greatest(F.abs(g / float(UNIT)) - F.col("l1"), F.lit(0.0))
