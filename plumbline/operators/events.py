@@ -39,12 +39,13 @@ def event_windows(events: DataFrame, prices: DataFrame, before: int, after: int)
 def basket_returns(changes: DataFrame, closes: DataFrame, cost: float) -> DataFrame:
     """review, legs, net: mean signed return from announced to effective of each review's changes
     (review, symbol, sign, announced, effective), less cost. Prices are those of the first date at or after each;
-    closes: date, symbol, close. A leg without both prices is left out."""
+    closes: date, symbol, close. A leg without both prices is left out. Equal legs of a review are counted and priced once."""
+    legs = changes.groupBy("review", "symbol", "sign", "announced", "effective").agg(F.count("*").alias("_n"))
     at = closes.select("symbol", F.col("date").alias("ts"), "close")
-    enter = as_of(changes.withColumn("ts", F.col("announced")), at, values=("close",), forward=True).withColumnRenamed("close", "_a")
+    enter = as_of(legs.withColumn("ts", F.col("announced")), at, values=("close",), forward=True).withColumnRenamed("close", "_a")
     leave = as_of(enter.withColumn("ts", F.col("effective")), at, values=("close",), forward=True).withColumnRenamed("close", "_b")
     legs = leave.withColumn("_r", F.col("sign") * (F.try_divide("_b", "_a") - 1)).where("_r is not null")
-    return legs.groupBy("review").agg(F.count("*").alias("legs"), (F.avg("_r") - cost).alias("net"))
+    return legs.groupBy("review").agg(F.sum("_n").alias("legs"), (F.sum(F.col("_r") * F.col("_n")) / F.sum("_n") - cost).alias("net"))
 
 
 def shuffled_drawdowns(returns: DataFrame, n: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
