@@ -137,23 +137,29 @@ def frac_diff(x: str, d: float, threshold: float) -> Column:
     return F.when(F.count(x).over(last_n(len(w))) == len(w), total)
 
 
-def bad_ticks(bars: DataFrame, most: float) -> DataFrame:
-    """Adds reason: non_positive, negative_volume, inconsistent, spike (the close is over most percent from that of
-    the last bar that was kept), or missing for good bars."""
+TICK_CHECKS = ("non_positive", "negative_volume", "inconsistent", "spike")
+
+
+def bad_ticks(bars: DataFrame, most: float, checks: tuple[str, ...] = TICK_CHECKS) -> DataFrame:
+    """Adds reason: the first of checks that a bar fails, non_positive, negative_volume, inconsistent, spike (the close is
+    over most percent from that of the last bar that was kept), or missing for good bars.
+
+    After a kept close of zero or NaN every close is a spike; a missing one is none, and nothing after it until the next."""
+    prices, volume, range_, spike = (c in checks for c in TICK_CHECKS)
 
     def make():
         last = None
 
-        def step(o, h, low, c, v):
+        def step(c, o=None, h=None, low=None, v=None):
             nonlocal last
             why = None
-            if min(o, h, low, c) <= 0:
+            if prices and min(o, h, low, c) <= 0:
                 why = "non_positive"
-            elif v < 0:
+            elif volume and v < 0:
                 why = "negative_volume"
-            elif h < max(o, c, low) or low > min(o, c):
+            elif range_ and (h < max(o, c, low) or low > min(o, c)):
                 why = "inconsistent"
-            elif last is not None and abs(c / last - 1) * 100 > most:
+            elif spike and None not in (last, c) and (last == 0 or not abs(c / last - 1) * 100 <= most):
                 why = "spike"
             if why is None:
                 last = c
@@ -161,7 +167,7 @@ def bad_ticks(bars: DataFrame, most: float) -> DataFrame:
 
         return step
 
-    return streamed(bars, make, ["open", "high", "low", "close", "volume"], {"reason": "string"})
+    return streamed(bars, make, ["close", "open", "high", "low", "volume"] if prices or volume or range_ else ["close"], {"reason": "string"})
 
 
 def cusum(bars: DataFrame, threshold: float, x: str = "ret") -> DataFrame:

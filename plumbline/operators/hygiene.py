@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import series
-from .folds import bad_ticks
+from .folds import TICK_CHECKS, bad_ticks
 from .joins import as_of
 
 
@@ -123,19 +123,19 @@ def day_bounds(day: Column, zone: str) -> tuple[Column, Column]:
     return begin, F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp_ntz"), zone) - F.expr("interval 1 microsecond")
 
 
-def quality_report(bars: DataFrame, start: str, stop: str, minutes: int, spike: float) -> DataFrame:
+def quality_report(bars: DataFrame, start: str, stop: str, minutes: int, spike: float, checks: tuple[str, ...] = TICK_CHECKS) -> DataFrame:
     """symbol, expected, observed, bars, first, last, gaps, missing_days, bad_ticks, has_issues of every symbol's bars
     from start to stop, and a row of totals whose symbol is null.
 
-    expected counts the weekdays from start to stop, observed the days with a bar. A symbol without bars in the range
-    has no row: unread() finds it."""
+    expected counts the weekdays from start to stop, observed the days with a bar; bad ticks fail one of checks. A symbol
+    without bars in the range has no row: unread() finds it."""
     window = bars.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz")))
     days = F.sequence(F.lit(start).cast("timestamp_ntz").cast("date"), F.lit(stop).cast("timestamp_ntz").cast("date"))
     expected = F.size(F.filter(days, trading_day)).cast("long")
     parts = [
         gaps(window, minutes).groupBy("symbol").agg(F.count("*").alias("gaps")),
         missing_days(window).groupBy("symbol").agg(F.count("*").alias("missing_days")),
-        bad_ticks(window, spike).groupBy("symbol").agg(F.count("reason").alias("bad_ticks")),
+        bad_ticks(window, spike, checks).groupBy("symbol").agg(F.count("reason").alias("bad_ticks")),
     ]
     out = coverage(window).select("symbol", F.col("days").alias("observed"), "bars", "first", "last")
     for p in parts:
